@@ -79,13 +79,12 @@ def rolling_fine_revenue(fines: DataFrame, rows: int = 7) -> DataFrame:
 
 
 def _with_names(fines: DataFrame, members: DataFrame, loans: DataFrame, books: DataFrame) -> DataFrame:
+    """Fines with member and title. Loans only lend their book id, so titles join fines rather than all loans."""
     who = members.select(
         "member_id", F.col("full_name").alias("member_name"), F.col("email").alias("member_email")
     )
-    what = loans.select("loan_id", "book_id").join(
-        books.select("book_id", F.col("title").alias("book_title")), "book_id"
-    )
-    return fines.join(who, "member_id").join(what, "loan_id")
+    what = books.select("book_id", F.col("title").alias("book_title"))
+    return fines.join(loans.select("loan_id", "book_id"), "loan_id").join(what, "book_id").join(who, "member_id")
 
 
 def fine_list(fines: DataFrame, members: DataFrame, loans: DataFrame, books: DataFrame) -> DataFrame:
