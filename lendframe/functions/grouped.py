@@ -66,6 +66,9 @@ def grouped_window(
         rows = df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", F.when(F.col("_hot"), cut)).drop("_hot")
     else:
         rows = df.withColumn("_chunk", cut)
+    # Without the explicit exchange, rows that already lie by `keys` (after a join, say) would satisfy the window as they
+    # are, with all chunks of a hot group still in one task.
+    rows = rows.repartition(*keys, "_chunk") if keys else rows
 
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -110,6 +113,22 @@ def grouped_window(
     return local.join(offsets, [*keys, "_chunk"], "left").select(*df.columns, *added)
 
 
+def latest_per_key(df: DataFrame, key: str, order: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Per key, the value of each column at the highest `order` among the rows where its condition holds.
+
+    `values` maps new names to (input column, condition). Works in two steps, first per key and slice of `order`, so the
+    rows of one key are never reduced in one task even when they arrive there together from a join.
+    """
+    slices = 64
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices))).repartition(key, "_slice")
+    when = {out: F.when(cond, F.col(order)) for out, (_, cond) in values.items()}
+    parts = sliced.groupBy(key, "_slice").agg(
+        *[F.max_by(src, when[out]).alias(out) for out, (src, _) in values.items()],
+        *[F.max(when[out]).alias(f"_at_{out}") for out in values],
+    )
+    return parts.groupBy(key).agg(*[F.max_by(out, f"_at_{out}").alias(out) for out in values])
+
+
 def global_ranks(df: DataFrame, score: str, tie: str, *, bits: int = 16, rule: HotRule = DEFAULT_RULE) -> DataFrame:
     """Rank all rows by an integer `score`, highest first, ties numbered by the unique key `tie`.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,12 @@ def pairs_within(
     sizes = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias("_g"))
     every = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
 
-    def strip(salt: str) -> Column:
-        return F.pmod(F.xxhash64(salt), F.col("_g")).cast("int")
+    def cells(side: DataFrame, salt: str, own: str, other: str) -> DataFrame:
+        strip = F.pmod(F.xxhash64(salt), F.col("_g")).cast("int")
+        strips = side.join(sizes, key).withColumn(own, strip)
+        # By strip first, so that the copies of a big group are made by many tasks and not where its rows met its size.
+        return strips.repartition(key, own).select(*side.columns, own, every.alias(other))
 
-    a = left.join(sizes, key).select(*left.columns, strip(left_salt).alias("_i"), every.alias("_j"))
-    b = right.join(sizes, key).select(*right.columns, strip(right_salt).alias("_j"), every.alias("_i"))
+    a = cells(left, left_salt, "_i", "_j")
+    b = cells(right, right_salt, "_j", "_i")
     return a.join(b, [key, "_i", "_j"]).drop("_i", "_j")

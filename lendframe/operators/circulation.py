@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lendframe.functions import columns as c
 from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window, id_block
 from lendframe.operators import jobs
-from lendframe.operators.jobs import JobResult, decided, first_per_key, first_reason, numbered_after
+from lendframe.operators.jobs import JobResult, decided, first_per_key, first_reason, join_decisions, numbered_after
 from lendframe.schema import MAX_RENEWALS, TableSet, conform
 
 PAIR = ["book_id", "member_id"]
@@ -30,17 +30,19 @@ def _shift_copies(books: DataFrame, moved: DataFrame, sign: int) -> DataFrame:
 def issue_loans(lib: TableSet, requests: DataFrame, as_of: date, rule: HotRule = DEFAULT_RULE) -> JobResult:
     """Lend books to members: requests (seq, book_id, member_id).
 
-    In a batch of issues availability only falls, so for a member and book only the first valid request can succeed,
-    and it does if its place among the book's first requests is within the available copies.
+    All requests of one member for one book share their checks, which are made once per pair. In a batch of issues
+    availability only falls, so of a pair only the first request can succeed, and it does if its place among the book's
+    first requests is within the available copies.
     """
     people = lib.members.select("member_id", "status", "membership_type")
     held = lib.loans.where(F.col("return_date").isNull()).select(*PAIR).distinct().withColumn("_held", F.lit(True))
     checked = (
-        requests.join(people, "member_id", "left")
+        first_per_key(requests, *PAIR)
+        .join(people, "member_id", "left")
         .join(held, PAIR, "left")
         .select(
-            "seq",
             *PAIR,
+            "first_seq",
             c.loan_days().alias("_days"),
             first_reason(
                 (F.col("status").isNull(), jobs.MEMBER_NOT_FOUND),
@@ -49,27 +51,27 @@ def issue_loans(lib: TableSet, requests: DataFrame, as_of: date, rule: HotRule =
             ).alias("_reason"),
         )
     )
-    firsts = (
-        checked.where(F.col("_reason").isNull())
-        .groupBy(*PAIR)
-        .agg(F.min("seq").alias("first_seq"), F.max("_days").alias("_days"))
-    )
-    queued = grouped_window(firsts, ["book_id"], ["first_seq"], [id_block("first_seq")], row_number="_place", rule=rule)
-    granted = (
-        queued.join(lib.books.select("book_id", "available_copies"), "book_id")
-        .where(F.col("_place") <= F.col("available_copies"))
-        .select(*PAIR, "first_seq", "_days")
+    queued = grouped_window(
+        checked.where(F.col("_reason").isNull()),
+        ["book_id"],
+        ["first_seq"],
+        [id_block("first_seq")],
+        row_number="_place",
+        rule=rule,
+    ).join(lib.books.select("book_id", "available_copies"), "book_id", "left")
+    placed = queued.withColumn("_granted", F.coalesce(F.col("_place") <= F.col("available_copies"), F.lit(False)))
+    granted = placed.where("_granted").select(*PAIR, "first_seq", "_days")
+    by_pair = (
+        checked.where(F.col("_reason").isNotNull())
+        .select(*PAIR, "first_seq", "_reason")
+        .unionByName(
+            placed.select(*PAIR, "first_seq", first_reason((~F.col("_granted"), jobs.NO_COPIES)).alias("_reason"))
+        )
     )
     outcomes = decided(
-        checked.join(granted, PAIR, "left"),
+        join_decisions(requests, by_pair, PAIR),
         ["seq", *PAIR],
-        F.coalesce(
-            F.col("_reason"),
-            first_reason(
-                (F.col("first_seq").isNull(), jobs.NO_COPIES),
-                (F.col("seq") != F.col("first_seq"), jobs.ALREADY_BORROWED),
-            ),
-        ),
+        F.coalesce(F.col("_reason"), first_reason((F.col("seq") != F.col("first_seq"), jobs.ALREADY_BORROWED))),
     )
     issued = numbered_after(granted, "first_seq", lib.loans, "loan_id").select(
         "loan_id",

@@ -54,9 +54,16 @@ def decided(df: DataFrame, keys: list[str], reason: Column) -> DataFrame:
     )
 
 
-def first_per_key(requests: DataFrame, key: str) -> DataFrame:
+def first_per_key(requests: DataFrame, *key: str) -> DataFrame:
     """Lowest `seq` per key, combined on the map side, so a key repeated without end costs one row."""
-    return requests.groupBy(key).agg(F.min("seq").alias("first_seq"))
+    return requests.groupBy(*key).agg(F.min("seq").alias("first_seq"))
+
+
+def join_decisions(requests: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """Join requests with what was decided for their keys; a missing key value finds its decision as well."""
+    theirs = decisions.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [requests[k].eqNullSafe(theirs[f"_{k}"]) for k in keys]
+    return requests.join(theirs, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def numbered_after(df: DataFrame, order: str, existing: DataFrame, key: str) -> DataFrame:

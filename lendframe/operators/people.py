@@ -98,12 +98,16 @@ def shared_borrowers(loans: DataFrame, members: DataFrame, books: DataFrame, cel
         .groupBy("book_id", "full_name")
         .agg(F.min("member_id").alias("low"), F.max("member_id").alias("high"))
     )
-    first = borrowers.join(books.select("book_id", F.col("title").alias("shared_book")), "book_id").select(
-        "book_id", "shared_book", F.col("full_name").alias("member_1"), "low"
-    )
+    first = borrowers.select("book_id", F.col("full_name").alias("member_1"), "low")
     second = borrowers.select("book_id", F.col("full_name").alias("member_2"), "high")
-    pairs = pairs_within(first, second, "book_id", "member_1", "member_2", cell_rows).where(F.col("low") < F.col("high"))
-    return pairs.select("member_1", "member_2", "shared_book").distinct()
+    titled = books.select("book_id", F.col("title").alias("shared_book"))
+    return (
+        pairs_within(first, second, "book_id", "member_1", "member_2", cell_rows)
+        .where(F.col("low") < F.col("high"))
+        .join(titled, "book_id")
+        .select("member_1", "member_2", "shared_book")
+        .distinct()
+    )
 
 
 def rank_members(members: DataFrame, loans: DataFrame, rule: HotRule = DEFAULT_RULE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window, id_block
 from lendframe.operators import jobs
-from lendframe.operators.jobs import JobResult, decided, first_per_key, first_reason, numbered_after
+from lendframe.operators.jobs import JobResult, decided, first_per_key, first_reason, join_decisions, numbered_after
 from lendframe.schema import TableSet, conform
 
 PAIR = ["book_id", "member_id"]
@@ -18,17 +18,21 @@ PAIR = ["book_id", "member_id"]
 def create_reservations(
     lib: TableSet, requests: DataFrame, as_of: date, rule: HotRule = DEFAULT_RULE
 ) -> JobResult:
-    """Queue members for books: requests (seq, book_id, member_id). Availability plays no part."""
+    """Queue members for books: requests (seq, book_id, member_id). Availability plays no part.
+
+    All requests of one member for one book share their checks; the first one gets the place.
+    """
     known_books = lib.books.select("book_id", F.lit(True).alias("_book"))
     people = lib.members.select("member_id", "status")
     queued = lib.reservations.select(*PAIR).distinct().withColumn("_queued", F.lit(True))
     checked = (
-        requests.join(known_books, "book_id", "left")
+        first_per_key(requests, *PAIR)
+        .join(known_books, "book_id", "left")
         .join(people, "member_id", "left")
         .join(queued, PAIR, "left")
         .select(
-            "seq",
             *PAIR,
+            "first_seq",
             first_reason(
                 (F.col("_book").isNull(), jobs.BOOK_NOT_FOUND),
                 (F.col("status").isNull(), jobs.MEMBER_NOT_FOUND),
@@ -37,13 +41,11 @@ def create_reservations(
             ).alias("_reason"),
         )
     )
-    granted = checked.where(F.col("_reason").isNull()).groupBy(*PAIR).agg(F.min("seq").alias("first_seq"))
+    granted = checked.where(F.col("_reason").isNull()).drop("_reason")
     outcomes = decided(
-        checked.join(granted, PAIR, "left"),
+        join_decisions(requests, checked, PAIR),
         ["seq", *PAIR],
-        F.coalesce(
-            F.col("_reason"), first_reason((F.col("seq") != F.col("first_seq"), jobs.ALREADY_RESERVED))
-        ),
+        F.coalesce(F.col("_reason"), first_reason((F.col("seq") != F.col("first_seq"), jobs.ALREADY_RESERVED))),
     )
     ends = lib.reservations.groupBy("book_id").agg(F.max("queue_position").alias("_end"))
     placed = grouped_window(

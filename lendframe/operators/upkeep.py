@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lendframe.functions.grouped import latest_per_key
 from lendframe.operators import jobs
 from lendframe.operators.jobs import JobResult, blank, decided, first_reason, numbered_after
 from lendframe.schema import MEMBER_STATES, MEMBERSHIP_DAYS, MEMBERSHIP_TYPES, TableSet, conform
@@ -118,14 +119,14 @@ def update_books(lib: TableSet, requests: DataFrame) -> JobResult:
             (_missing("title", "author", "genre"), jobs.MISSING_FIELD),
         ),
     )
-    texts = F.struct("title", "author", "genre", _year().alias("year_published"))
-    final = (
-        checked.where(F.col("_reason").isNull())
-        .groupBy("book_id")
-        .agg(
-            F.max_by(texts, "seq").alias("_new"),
-            F.max_by("total_copies", F.when(F.col("total_copies").isNotNull(), F.col("seq"))).alias("_total"),
-        )
+    accepted = checked.where(F.col("_reason").isNull()).withColumn(
+        "_texts", F.struct("title", "author", "genre", _year().alias("year_published"))
+    )
+    final = latest_per_key(
+        accepted,
+        "book_id",
+        "seq",
+        {"_new": ("_texts", F.lit(True)), "_total": ("total_copies", F.col("total_copies").isNotNull())},
     )
     hit = F.col("_new").isNotNull()
     total = F.coalesce("_total", "total_copies")

@@ -12,7 +12,7 @@ from tests import serial
 from tests.builders import dicts, library, requests
 
 TODAY = date(2024, 3, 1)
-RULES = [HotRule(), HotRule(share=4, floor=5), HotRule(share=1_000_000, floor=0)]
+RULES = [HotRule(share=4, floor=5), HotRule(share=1_000_000, floor=0)]
 STEP = 2**19  # spreads few requests over many blocks of 2**20
 
 
@@ -51,7 +51,9 @@ def lib(spark):
 @pytest.fixture(scope="module")
 def pairs():
     rnd = random.Random(5)
-    return [(i * STEP, 1 if rnd.random() < 0.4 else rnd.randint(1, 10), rnd.randint(1, 33)) for i in range(300)]
+    return [(i * STEP, 1 if rnd.random() < 0.4 else rnd.randint(1, 10), rnd.randint(1, 33)) for i in range(300)] + [
+        (300 * STEP, None, 1), (301 * STEP, 1, None), (302 * STEP, None, None), (303 * STEP, None, 1)
+    ]
 
 
 @pytest.mark.parametrize("rule", RULES)
