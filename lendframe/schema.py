@@ -6,6 +6,7 @@ from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Loan period in days by membership tier, fine per late day, and the limits of the circulation rules.
@@ -129,3 +130,13 @@ class TableSet:
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project a frame to the column order and types of a library table."""
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])
+
+
+def collated(lib: TableSet, collation: str = "UTF8_LCASE") -> TableSet:
+    """The same tables with collated text, so that `=`, GROUP BY, joins and LIKE on it ignore case."""
+
+    def collate(df: DataFrame) -> DataFrame:
+        texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+        return df.withColumns({name: F.collate(name, collation) for name in texts}) if texts else df
+
+    return TableSet(**{name: collate(df) for name, df in lib.items()})

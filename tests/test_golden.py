@@ -4,6 +4,7 @@ from datetime import date
 from decimal import Decimal as D
 
 from lendframe.operators import catalogue, fines, loans, overview, people, waitlist
+from lendframe.schema import collated
 from tests.builders import library, table
 
 
@@ -235,3 +236,12 @@ def test_same_names_pair_once(spark):
 def test_leap_day_month_arithmetic(spark):
     small = library(spark, loans=[{"loan_date": date(2023, 2, 28)}, {"loan_date": date(2023, 2, 27)}])
     assert tuples(loans.monthly_loan_trend(small.loans, date(2024, 2, 29))) == [("2023-02-01", 1, 1)]
+
+
+def test_collated_text_ignores_case(lib):
+    assert catalogue.books_by_genre_or_title(lib.books, "CLASSIC", "-").count() == 0
+    relaxed = collated(lib)
+    assert catalogue.books_by_genre_or_title(relaxed.books, "CLASSIC", "-").count() == 2
+    assert catalogue.genre_counts(relaxed.books).count() == 5
+    assert overview.search(relaxed.books, relaxed.members, "%AUSTEN%").count() == 1
+    assert fines.running_fines(relaxed.fines, relaxed.members).count() == 5
