@@ -40,6 +40,10 @@ class BookDesk(StatefulProcessor):
         self.copies = handle.getValueState("copies", "left int")
         self.loans = handle.getMapState("loans", "member_id long", "due_date date, renewed int")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for loan in initialState.itertuples(index=False):
+            self.loans.updateValue((loan.member_id,), (loan.due_date, int(loan.renewed_count)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(rows).sort_values(["ts", "event_id"])
         stored = self.copies.get() if self.copies.exists() else None
@@ -90,13 +94,18 @@ class BookDesk(StatefulProcessor):
         pass
 
 
-def circulation_stream(feed: DataFrame, books: DataFrame, members: DataFrame) -> DataFrame:
+def circulation_stream(
+    feed: DataFrame, books: DataFrame, members: DataFrame, loans: DataFrame | None = None
+) -> DataFrame:
     """Decisions on a feed of issue, renew and return events, in append mode.
 
-    A book starts with its available copies and no open loan in state. Events are served by (ts, event_id) inside a
-    micro-batch, stragglers when they arrive. Needs the RocksDB state store. The feed's files-per-batch setting bounds
-    what one book can bring to one task.
+    A book starts with its available copies and with the open loans among `loans`, if given; a member has at most one
+    open loan of a book. Events are served by (ts, event_id) inside a micro-batch, stragglers when they arrive. Needs the
+    RocksDB state store. The feed's files-per-batch setting bounds what one book can bring to one task.
     """
+    held = None
+    if loans is not None:
+        held = loans.where(F.col("return_date").isNull()).select("book_id", "member_id", "due_date", "renewed_count")
     shelf = books.select("book_id", F.col("available_copies").alias("copies"))
     people = members.select("member_id", "status", c.loan_days().alias("days"))
     asked = (
@@ -115,5 +124,9 @@ def circulation_stream(feed: DataFrame, books: DataFrame, members: DataFrame) ->
         )
     )
     return asked.groupBy("book_id").transformWithStateInPandas(
-        statefulProcessor=BookDesk(), outputStructType=DECISIONS, outputMode="append", timeMode="none"
+        statefulProcessor=BookDesk(),
+        outputStructType=DECISIONS,
+        outputMode="append",
+        timeMode="none",
+        initialState=held.groupBy("book_id") if held is not None else None,
     )

@@ -127,10 +127,11 @@ def notify(reservations, requests):
     return outcomes, list(queue.values())
 
 
-def desk(books, members, events):
+def desk(books, members, events, loans=()):
     """Interleaved issue, renew and return events in order of (ts, event_id): event -> (reason, due date, fine)."""
     left = {b["book_id"]: b["available_copies"] for b in books}
-    members, held, outcomes = by_key(members, "member_id"), {}, {}
+    members, outcomes = by_key(members, "member_id"), {}
+    held = {(r["book_id"], r["member_id"]): [r["due_date"], r["renewed_count"]] for r in loans if not r["return_date"]}
     for e in sorted(events, key=lambda e: (e["ts"], e["event_id"])):
         pair, day = (e["book_id"], e["member_id"]), e["ts"].date()
         person = members.get(e["member_id"])

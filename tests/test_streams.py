@@ -10,7 +10,7 @@ from lendframe.streaming.circulation import circulation_stream
 from lendframe.streaming.inventory import inventory_stream
 from lendframe.streaming.runner import FEED, open_feed, run_available
 from tests import serial
-from tests.builders import dicts, library
+from tests.builders import DAY, dicts, library
 
 START = datetime(2024, 1, 1)
 
@@ -53,8 +53,8 @@ def test_inventory_stream(spark, events, tmp_path, cuts, shuffled):
     assert {r.book_id: r.n for r in last} == expected
 
 
-@pytest.mark.parametrize("cuts", [[], [40, 41, 150]])
-def test_circulation_stream_equals_serial_desk(spark, events, tmp_path, cuts):
+@pytest.mark.parametrize("cuts, started", [([], False), ([40, 41, 150], True)])
+def test_circulation_stream_equals_serial_desk(spark, events, tmp_path, cuts, started):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -65,11 +65,18 @@ def test_circulation_stream_equals_serial_desk(spark, events, tmp_path, cuts):
         members=[{"status": s, "membership_type": t} for s, t in [
             ("active", "standard"), ("active", "student"), ("active", "premium"), ("suspended", "standard"),
             ("active", "standard"), ("active", "student")]],
+        loans=[{"book_id": 1, "member_id": 2, "renewed_count": 1}, {"book_id": 2, "member_id": 4},
+               {"book_id": 1, "member_id": 3, "return_date": DAY}],
     )
+    loans = small.loans if started else None
     feed = open_feed(spark, write_files(spark, events, str(tmp_path / "feed"), cuts), files_per_batch=1)
-    decided = run_available(circulation_stream(feed, small.books, small.members), str(tmp_path / "run"), "append")
+    decided = run_available(
+        circulation_stream(feed, small.books, small.members, loans), str(tmp_path / "run"), "append"
+    )
     rows = decided.collect()
-    expected = serial.desk(dicts(small.books), dicts(small.members), events)
+    expected = serial.desk(
+        dicts(small.books), dicts(small.members), events, dicts(small.loans) if started else ()
+    )
     assert {r.event_id: (r.reason, r.due_date, r.fine) for r in rows} == expected
     assert all(r.accepted == (r.reason is None) for r in rows) and len(rows) == len(events)
     assert len({r.reason for r in rows}) == 7
