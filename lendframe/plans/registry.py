@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the searches below: a genre, title patterns and search texts that occur in the given tables.
 GENRE, TITLE_PATTERN, SEARCH_PATTERN = "PROMO", "%ring%", "%12%"
 
+# Days at which the circulation feed of the stream queries is cut into three arrivals.
+FEED_CUTS = date(1998, 1, 1), date(2000, 1, 1)
+
 
 class Inputs:
     """Library tables and request tables of one data folder, built on first use and shared by the queries below."""
@@ -190,32 +194,42 @@ def _checkpoint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.table_counts(store.restore_checkpoint())
 
 
-def _write_feed(spark: SparkSession, sf_dir: str, folder: str) -> str:
-    """The circulation feed as time-ordered parquet files, several of them so that there are micro-batches."""
-    feed = requests.circulation_feed(star_views.stored_library(spark, sf_dir))
-    feed.repartitionByRange(4, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(folder)
-    return folder
+def _run_arrivals(
+    spark: SparkSession, sf_dir: str, job: Callable[[TableSet, DataFrame], DataFrame], mode: str
+) -> DataFrame:
+    """Let the circulation feed arrive in slices of time and take the stream up again after each of them.
+
+    All files of a slice form one micro-batch, so what a batch holds does not depend on how its files were written.
+    """
+    folder = work_dir(spark)
+    lib = star_views.stored_library(spark, sf_dir)
+    feed = requests.circulation_feed(lib)
+    first, second = (F.lit(day).cast("timestamp") for day in FEED_CUTS)
+    ts = F.col("ts")
+    for slice_ in (ts < first, (ts >= first) & (ts < second), ts >= second):
+        feed.where(slice_).write.mode("append").parquet(f"{folder}/feed")
+        emitted = run_available(job(lib, open_feed(spark, f"{folder}/feed", 10_000)), f"{folder}/run", mode)
+    return emitted
 
 
 def _inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies on loan after the whole feed: the last value the stream emitted per book."""
-    folder = work_dir(spark)
-    feed = open_feed(spark, _write_feed(spark, sf_dir, f"{folder}/feed"), files_per_batch=1)
-    emitted = run_available(inventory_stream(feed, tolerance="36500 days"), f"{folder}/run", "update")
+    emitted = _run_arrivals(spark, sf_dir, lambda lib, feed: inventory_stream(feed, "36500 days"), "update")
     return emitted.groupBy("book_id").agg(F.max_by("copies_on_loan", "batch").alias("copies_on_loan"))
 
 
 def _circulation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on the whole feed, starting from full shelves."""
-    folder = work_dir(spark)
-    lib = star_views.stored_library(spark, sf_dir)
-    full = lib.books.withColumn("available_copies", F.col("total_copies"))
-    feed = open_feed(spark, _write_feed(spark, sf_dir, f"{folder}/feed"), files_per_batch=1)
+
+    def job(lib: TableSet, feed: DataFrame) -> DataFrame:
+        full = lib.books.withColumn("available_copies", F.col("total_copies"))
+        return circulation_stream(feed, full, lib.members)
+
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return run_available(circulation_stream(feed, full, lib.members), f"{folder}/run", "append").drop("batch")
+        return _run_arrivals(spark, sf_dir, job, "append").drop("batch")
     finally:
         spark.conf.set(provider, before)
 
