@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date
 from functools import cached_property
 
@@ -194,21 +195,41 @@ def _checkpoint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.table_counts(store.restore_checkpoint())
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the length of a stream run."""
+    names = {key.replace("_", "."): value for key, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def _run_arrivals(
     spark: SparkSession, sf_dir: str, job: Callable[[TableSet, DataFrame], DataFrame], mode: str
 ) -> DataFrame:
     """Let the circulation feed arrive in slices of time and take the stream up again after each of them.
 
-    All files of a slice form one micro-batch, so what a batch holds does not depend on how its files were written.
+    All files of a slice form one micro-batch, so what a batch holds does not depend on how its files were written. State
+    is kept in at most one partition per core: unlike batch shuffles, state partitions are not merged when small.
     """
     folder = work_dir(spark)
     lib = star_views.stored_library(spark, sf_dir)
     feed = requests.circulation_feed(lib)
     first, second = (F.lit(day).cast("timestamp") for day in FEED_CUTS)
     ts = F.col("ts")
-    for slice_ in (ts < first, (ts >= first) & (ts < second), ts >= second):
-        feed.where(slice_).write.mode("append").parquet(f"{folder}/feed")
-        emitted = run_available(job(lib, open_feed(spark, f"{folder}/feed", 10_000)), f"{folder}/run", mode)
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with _settings(
+        spark, spark_sql_shuffle_partitions=str(partitions), spark_sql_streaming_stateStore_providerClass=store
+    ):
+        for slice_ in (ts < first, (ts >= first) & (ts < second), ts >= second):
+            feed.where(slice_).write.mode("append").parquet(f"{folder}/feed")
+            emitted = run_available(job(lib, open_feed(spark, f"{folder}/feed", 10_000)), f"{folder}/run", mode)
     return emitted
 
 
@@ -225,13 +246,7 @@ def _circulation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         full = lib.books.withColumn("available_copies", F.col("total_copies"))
         return circulation_stream(feed, full, lib.members)
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _run_arrivals(spark, sf_dir, job, "append").drop("batch")
-    finally:
-        spark.conf.set(provider, before)
+    return _run_arrivals(spark, sf_dir, job, "append").drop("batch")
 
 
 def queries() -> dict[str, Query]:
