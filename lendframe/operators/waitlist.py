@@ -28,7 +28,12 @@ def reservation_chain(
         numbered.where(F.col("depth") == F.col("queue_position"))
         .join(members.select("member_id", "full_name"), "member_id")
         .select(
-            "reservation_id", "member_id", "full_name", "book_id", "queue_position", F.col("depth").cast("int").alias("depth")
+            "reservation_id",
+            "member_id",
+            "full_name",
+            "book_id",
+            "queue_position",
+            F.col("depth").cast("int").alias("depth"),
         )
         .orderBy("book_id", "queue_position")
     )

@@ -65,7 +65,9 @@ def cancel_requests(lib: TableSet) -> DataFrame:
     return (
         gone.select((res * 3).alias("seq"), "reservation_id")
         .unionByName(gone.where("notified").select((res * 3 + 1).alias("seq"), "reservation_id"))
-        .unionByName(gone.where(~F.col("notified")).select((res * 3 + 2).alias("seq"), (-res - 1).alias("reservation_id")))
+        .unionByName(
+            gone.where(~F.col("notified")).select((res * 3 + 2).alias("seq"), (-res - 1).alias("reservation_id"))
+        )
     )
 
 
