@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +22,16 @@ def local_session(cpus: str = "8", name: str = "lendframe") -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder the cluster names; a local one only where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lendframe-")
+    """A new folder below the shared folder the cluster names in spark.checkpoint.dir.
+
+    Without that setting a local session, whose one process does all the work, gets one for its lifetime; a cluster
+    session is refused, as its executors would each write to a disk of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.local.dir', None) or '/tmp'}/lendframe-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/lendframe-{uuid4().hex}"
 
 
