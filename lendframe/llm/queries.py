@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lendframe.llm.minhash import near_duplicates
+from lendframe.llm.pieces import encoded
 from lendframe.llm.quality import quality
+from lendframe.llm.tokenfile import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +27,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op2_minhash, op4_quality_rules)}
+    found = op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
