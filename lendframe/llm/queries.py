@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lendframe.llm import mixing
 from lendframe.llm.minhash import near_duplicates
 from lendframe.llm.pieces import encoded
 from lendframe.llm.quality import quality
@@ -35,10 +36,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece
+    found = op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece, op8_mixing
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.SQL}
