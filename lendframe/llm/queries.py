@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lendframe.llm import covertree, mixing
+from lendframe.llm import covertree, mixing, warc
 from lendframe.llm.minhash import near_duplicates
 from lendframe.llm.pieces import encoded
 from lendframe.llm.quality import quality
@@ -44,10 +44,14 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archives(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    found = op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece, op8_mixing, op9_topk
+    found = op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece, op8_mixing, op9_topk, op10_warc
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.SQL, "op9_topk": covertree.SQL}
+    return {"op8_mixing": mixing.SQL, "op9_topk": covertree.SQL, "op10_warc": warc.SQL}
