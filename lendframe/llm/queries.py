@@ -11,15 +11,22 @@ from lendframe.llm import covertree, mixing, warc
 from lendframe.llm.minhash import near_duplicates
 from lendframe.llm.pieces import encoded
 from lendframe.llm.quality import quality
+from lendframe.llm.suffixes import repeated_passages
+from lendframe.llm.tables import send_code
 from lendframe.llm.tokenfile import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    send_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -49,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece, op8_mixing, op9_topk, op10_warc
+    found = op1_suffix_array, op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece, op8_mixing, op9_topk, op10_warc
     return {query.__name__: query for query in found}
 
 

@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+import lendframe
 from lendframe.sources.workspace import work_dir, written
 
+_sent: set[str] = set()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    _sent.add(context.applicationId)
+    root = Path(lendframe.__file__).parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.writestr(str(path.relative_to(root.parent)), path.read_text())
+    folder = work_dir(spark)
+    system, path = pafs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/lendframe.zip", compression=None) as stream:
+        stream.write(content.getvalue())
+    context.addPyFile(f"{folder}/lendframe.zip")
+
 
 class Store:
     """A new folder below the shared one; `keep` writes a frame there and reads it back."""
 
     def __init__(self, spark: SparkSession):
+        send_code(spark)
         self.folder, self.count = work_dir(spark), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
