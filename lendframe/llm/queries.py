@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lendframe.llm import covertree, mixing, warc
 from lendframe.llm.minhash import near_duplicates
 from lendframe.llm.pieces import encoded
+from lendframe.llm.pii import personal_data
 from lendframe.llm.quality import quality
+from lendframe.llm.secrets import secrets
 from lendframe.llm.suffixes import repeated_passages
 from lendframe.llm.tables import send_code
 from lendframe.llm.tokenfile import token_files
@@ -31,10 +33,18 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,7 +66,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = op1_suffix_array, op2_minhash, op4_quality_rules, op6_token_files, op7_sentencepiece, op8_mixing, op9_topk, op10_warc
+    found = (
+        op1_suffix_array,
+        op2_minhash,
+        op3_pii,
+        op4_quality_rules,
+        op5_secrets,
+        op6_token_files,
+        op7_sentencepiece,
+        op8_mixing,
+        op9_topk,
+        op10_warc,
+    )
     return {query.__name__: query for query in found}
 
 
