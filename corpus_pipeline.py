@@ -1,33 +1,65 @@
-"""A corpus from raw documents to token counts: quality, near-duplicates, personal data, mixing, encoding.
+"""A corpus from raw documents to token ids: quality, near-duplicates, personal data, mixing, encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of `docs`; its result is written as Parquet and read again
-as the next one's `docs`.
+as the next one's `docs`. Columns that `docs` has besides those a stage needs stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.llm.minhash import near_duplicates
+from lendframe.llm.mixing import mix_documents
+from lendframe.llm.pieces import encoded
+from lendframe.llm.pii import masked_documents
 from lendframe.llm.quality import kept_documents
-from lendframe.llm.tables import Store
+from lendframe.llm.tables import Store, send_code
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null and empty texts are rejected."""
+    send_code(spark)
     return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest doc_id; rows without doc_id stay.
+
+    Of rows that repeat a doc_id one stays.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the name of its kind in place of personal data, and n_chars of the new text."""
+    send_code(spark)
+    masked = masked_documents(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mix takes."""
+    return mix_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number and digests of the ids, and the ids of every copy."""
+    send_code(spark)
+    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("encoding", encoding),
 ]
 
 # Hashed models and tokenizers decide in several stages; tests compare each with a brute-force version.

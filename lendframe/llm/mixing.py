@@ -73,18 +73,11 @@ def finish_times(sizes: DataFrame, targets: DataFrame, chunks: int) -> DataFrame
     )
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source): size, source_size, target and `taken` words.
-
-    `taken` counts all copies of the document that the mix takes, whole copies only, at most `rounds`. A null text has size
-    0 and is taken 0 times; null sources are one source, the last; rows of one doc_id stand next to each other in the
-    shuffle, equal rows are told apart by nothing and may swap. An empty table gives an empty result. Other columns are
-    not read.
-    """
+def _mixed(docs: DataFrame, weights: tuple[int, ...], rounds: int, chunk_rows: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of each row."""
     store = Store(docs.sparkSession)
-    sizes = store.keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")))
+    sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"))
+    sizes = store.keep(sizes)
     total = sizes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     chunks = max(1, -(-total["rows"] // chunk_rows))
     targets = source_targets(sizes, weights, rounds).withColumnRenamed("source", "target_source")
@@ -113,6 +106,7 @@ def mix(
     words = F.col("size") * F.coalesce(F.size(F.when(F.col("finish").isNotNull(), taken)), F.lit(0))
     return timed.select(
         "doc_id",
+        "source",
         "size",
         "source_size",
         "target",
@@ -120,6 +114,48 @@ def mix(
     )
 
 
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, source): size, source_size, target and `taken` words.
+
+    `taken` counts all copies of the document that the mix takes, whole copies only, at most `rounds`. A null text has size
+    0 and is taken 0 times; null sources are one source, the last; rows of one doc_id stand next to each other in the
+    shuffle, rows that are equal in doc_id, source and size may swap their results. An empty table gives an empty result.
+    Other columns are not read.
+    """
+    return _mixed(docs, weights, rounds, chunk_rows).drop("source")
+
+
+def mix_documents(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """A row of `docs`, with all its columns, for each copy that `mix` takes."""
+
+    def keyed(df: DataFrame, source: Column, doc_id: Column, size: Column, order: Column, *more: Column) -> DataFrame:
+        """Rows numbered within doc_id, source and size, with keys that are never null."""
+        keys = [
+            F.coalesce(doc_id, F.lit(0)).alias("k_id"),
+            doc_id.isNull().alias("k_none"),
+            F.coalesce(source, F.lit("")).alias("k_source"),
+            source.isNull().alias("k_nowhere"),
+            size.alias("k_size"),
+        ]
+        names = ["k_id", "k_none", "k_source", "k_nowhere", "k_size"]
+        df = df.select(*keys, order.alias("k_order"), *more)
+        number = F.row_number().over(W.partitionBy(*names).orderBy("k_order"))  # rows that differ in nothing that counts
+        return df.withColumn("k_number", number).drop("k_order")
+
+    mixed = _mixed(docs, weights, rounds, chunk_rows).where("taken > 0")
+    mixed = keyed(
+        mixed, F.col("source"), F.col("doc_id"), F.col("size"), -F.col("taken"), (F.col("taken") / F.col("size")).cast("int").alias("copies")
+    )
+    source, doc_id = F.col("source").cast("string"), F.col("doc_id").cast("long")
+    rows = keyed(docs, source, doc_id, word_count(), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = rows.join(mixed, ["k_id", "k_none", "k_source", "k_nowhere", "k_size", "k_number"])
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 # The same in one statement; the words of a source, and of all copies, are summed up in plain windows here.
 SQL = """
 WITH sizes AS (
