@@ -291,8 +291,14 @@ class Encoder:
         return framed(ids, counts, [self.model.begin], [self.model.end])
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One per process, so that later tasks find the model loaded and common segments known."""
+    return Encoder(path)
+
+
 def _digests(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = Encoder(path)
+    encode = encoder(path)
     for rows, data, offsets in flat.slices(batches):
         ids, ends = encode(data, offsets)
         out, cuts = encode.model.decode(ids, ends)

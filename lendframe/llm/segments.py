@@ -8,7 +8,7 @@ import numpy as np
 
 from lendframe.llm import flat
 
-CACHED = 300_000
+CACHED = 1_200_000
 
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
@@ -31,8 +31,8 @@ class Segments:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.ids, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted by key
+        self.ids, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts per text); `cut` marks the bytes at which a segment begins, besides the first of a text."""
@@ -43,20 +43,25 @@ class Segments:
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], len(data))
         keys, index, inverse = np.unique(flat.hashes(data, starts, stops), return_index=True, return_inverse=True)
-        if len(self.rows) > CACHED:
+        if len(self.keys) > CACHED:
             self.clear()
-        rows = np.array([self.rows.get(k, -1) for k in keys.tolist()], np.int64)
+        rows = np.full(len(keys), -1, np.int32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            rows = np.where(self.keys[at] == keys, self.rows[at], rows)
         new = np.flatnonzero(rows < 0)
         if len(new):
             whole = data.tobytes()
             pieces = [whole[a:b] for a, b in zip(starts[index[new]].tolist(), stops[index[new]].tolist(), strict=True)]
             ids, counts = self.encode(pieces)
-            rows[new] = len(self.counts) + np.arange(len(new))
+            rows[new] = len(self.counts) + np.arange(len(new), dtype=np.int32)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-            self.rows.update(zip(keys[new].tolist(), rows[new].tolist(), strict=True))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts.astype(np.int32)])
+            merged = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(merged, kind="stable")  # two sorted runs
+            self.keys, self.rows = merged[order], np.concatenate([self.rows, rows[new]])[order]
         rows = rows[inverse]
-        counts = self.counts[rows]
+        counts = self.counts[rows].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(counts)])
         first = np.searchsorted(starts, offsets)
         return self.ids[spans(self.starts[rows], counts)], total[first[1:]] - total[first[:-1]]

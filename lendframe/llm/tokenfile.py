@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,14 @@ from pyspark.sql.window import Window as W
 
 from lendframe.llm import flat
 from lendframe.llm.files import new_file, open_file, partition
-from lendframe.llm.segments import Segments, framed
+from lendframe.llm.segments import Segments, framed, spans
 from lendframe.llm.tables import Store
 
 MAGIC = b"PLANES1\0"
 BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 26
 LEVEL = 1
+SLICE_BYTES = 4 << 20  # larger slices repeat more of their segments
 FOOTER = 8
 NO_ID = -(1 << 63)  # stands for a null doc_id in the document table
 
@@ -157,32 +158,73 @@ class Reader:
                 rest, done = rest[n:], upto
 
 
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Bytes of characters that are surely no white space. From U+0080 on white space begins with C2, E1, E2 or E3."""
+    two, three = data == 0xC2, (data >= 0xE1) & (data <= 0xE3)
+    odd = two | three
+    odd[1:] |= two[:-1] | three[:-1]
+    odd[2:] |= three[:-2]
+    return (data > 0x20) & (data != 0x7F) & ~odd
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
     Texts are cut before a space that stands between two characters which are no white space, and around such a newline:
     there the word pattern of this kind of tokenizer always begins a new word. Each distinct segment is encoded once.
+    Segments that begin at such a cut are handed over many at a time, joined as they could be in a text, because a call of
+    the library costs more than a word; the bytes that each id stands for tell which segment it belongs to.
     """
 
+    JOINED_BYTES = 1 << 17
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.id_bytes[i] = len(token)  # one character of this alphabet stands for one byte
         self.segments = Segments(self._encode)
 
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        arrays = [np.array(e.ids, np.int32) for e in out]
+        return np.concatenate([np.empty(0, np.int32), *arrays]), np.array([len(a) for a in arrays], np.int64)
+
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        out = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
-        counts = np.array([len(x) for x in out], np.int64)
-        return np.fromiter((i for x in out for i in x), np.int32, int(counts.sum())), counts
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        solid, starts = _solid(data), ends - sizes
+        closed = solid[ends - 1]
+        spaced = closed & (data[starts] == 0x20) & (sizes > 1) & solid[np.minimum(starts + 1, len(data) - 1)]
+        bare = closed & solid[starts]  # stands behind a newline, or as if it did
+        regular = np.flatnonzero(spaced | bare)
+        joined = [(b"\n" if bare[k] else b"") + pieces[k] for k in regular.tolist()]
+        upto = np.cumsum(sizes[regular] + bare[regular])
+        lines = np.searchsorted(upto, np.arange(self.JOINED_BYTES, (upto[-1] if len(upto) else 0) + self.JOINED_BYTES, self.JOINED_BYTES))
+        cuts = np.unique(np.concatenate([[0], np.minimum(lines + 1, len(joined)), [len(joined)]])).tolist()
+        ids, _ = self._ids([b"".join(joined[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+        reached = np.cumsum(self.id_bytes[ids])
+        stop = np.searchsorted(reached, upto) + 1
+        if len(upto) and not np.array_equal(reached[np.minimum(stop, len(reached)) - 1], upto):
+            raise ValueError("ids reach over the joints of segments: not a byte-level tokenizer of this kind")
+        start = np.concatenate([[0], stop[:-1]]) + bare[regular]
+        counts = np.zeros(len(pieces), np.int64)
+        counts[regular] = stop - start
+        others = np.flatnonzero(~(spaced | bare))
+        other_ids, counts[others] = self._ids([pieces[k] for k in others.tolist()])
+        # Back into the order of the pieces.
+        first = np.zeros(len(pieces), np.int64)
+        first[regular] = start
+        first[others] = len(ids) + np.cumsum(counts[others]) - counts[others]
+        return np.concatenate([ids, other_ids])[spans(first, counts)], counts
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # Characters from U+0080 that may be white space begin with one of these bytes; cuts keep away from all of them.
-        two, three = data == 0xC2, (data >= 0xE1) & (data <= 0xE3)
-        odd = two | three
-        odd[1:] |= two[:-1] | three[:-1]
-        odd[2:] |= three[:-2]
-        solid = (data > 0x20) & (data != 0x7F) & ~odd
+        solid = _solid(data)
         cut = np.zeros(len(data), bool)
         breaks = (data == 0x20) | (data == 0x0A)
         cut[1:-1] = breaks[1:-1] & solid[:-2] & solid[2:]
@@ -190,14 +232,20 @@ class Encoder:
         return self.segments(data, offsets, cut)
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One per process, so that later tasks find the tokenizer loaded and common segments known."""
+    return Encoder(path)
+
+
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end: int, unit: int) -> Iterator[pa.RecordBatch]:
-    encode, writer, uri, place, rows_out = Encoder(path), None, "", 0, []
+    encode, writer, uri, place, rows_out = encoder(path), None, "", 0, []
 
     def close() -> None:
         docs, ids = writer.close()
         rows_out.append((partition(), place, uri, docs, ids))
 
-    for rows, data, offsets in flat.slices(batches):
+    for rows, data, offsets in flat.slices(batches, limit=SLICE_BYTES):
         if writer is None:
             uri, stream = new_file(folder, ".planes")
             writer = Writer(stream, unit)
