@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 SCALE, TOP, QUERY_STEP = 1024, 10, 100
 CANDIDATE_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 11
-FANOUT, LEAF = 24, 48
+FANOUT, QUERY_LEAF, LEAF = 24, 12, 64
 
 PARTIAL = "query_id long, vec_id long, score long"
 
@@ -24,13 +24,13 @@ PARTIAL = "query_id long, vec_id long, score long"
 class Node:
     __slots__ = ("centre", "norm", "radius", "rows", "children")
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: int):
+    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: int, leaf: int):
         self.centre, self.rows = points[centre], rows
         self.norm = float(np.sqrt(self.centre @ self.centre))
         gap = points[rows] - self.centre
         away = np.sqrt(np.einsum("ij,ij->i", gap, gap))
         self.radius, self.children = float(away.max()), []
-        if len(rows) <= LEAF or self.radius == 0.0:
+        if len(rows) <= leaf or self.radius == 0.0:
             return
         # Farthest first: each new centre is the point that is covered worst, until half the radius covers all.
         of, centres = np.zeros(len(rows), np.int64), [centre]
@@ -44,7 +44,7 @@ class Node:
         for k, own in enumerate(centres):
             members = rows[of == k]
             if len(members):
-                self.children.append(Node(points, members, own))
+                self.children.append(Node(points, members, own, leaf))
 
 
 class Search:
@@ -59,7 +59,8 @@ class Search:
         self.slack = 1e-9 * max(1.0, largest)
         self.scores = np.full((len(q), k), np.iinfo(np.int64).min)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
-        self.visit(Node(self.fq, np.arange(len(q)), 0), Node(self.fp, np.arange(len(points)), 0))
+        queries, candidates = np.arange(len(q)), np.arange(len(points))
+        self.visit(Node(self.fq, queries, 0, QUERY_LEAF), Node(self.fp, candidates, 0, LEAF))
 
     def bounds(self, query: Node, nodes: list[Node]) -> np.ndarray:
         centres = np.array([n.centre for n in nodes])
