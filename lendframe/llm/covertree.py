@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lendframe.llm.tables import send_code
+
 SCALE, TOP, QUERY_STEP = 1024, 10, 100
 CANDIDATE_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 11
 FANOUT, QUERY_LEAF, LEAF = 24, 12, 64
@@ -130,6 +132,7 @@ def top_k(embeddings: DataFrame, k: int = TOP, step: int = QUERY_STEP, scale: in
     repeated query rows one is asked (the smallest vector). A query with fewer candidates gets them all; without queries or
     candidates the result is empty. Other columns are not read.
     """
+    send_code(embeddings.sparkSession)
     vectors = integer_vectors(embeddings, scale).withColumn("size", F.size("vector"))
     asked = vectors.where(F.col("vec_id") % step == 0).groupBy("vec_id", "size").agg(F.min("vector").alias("vector"))
     n_rows, n_asked = (max(1, df.count()) for df in (vectors, asked.select("vec_id")))

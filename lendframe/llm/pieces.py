@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lendframe.llm import flat
 from lendframe.llm.segments import Segments, framed, spans
+from lendframe.llm.tables import send_code
 
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -321,6 +322,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     rows stay equal rows, an empty table gives an empty result. Other columns are not read. `path` names the model file,
     which every executor must have.
     """
+    send_code(docs.sparkSession)
     schema = RESULT + ", ids array<int>" * with_ids
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(partial(_digests, path=path, with_ids=with_ids), schema)

@@ -14,14 +14,12 @@ from lendframe.llm.pii import personal_data
 from lendframe.llm.quality import quality
 from lendframe.llm.secrets import secrets
 from lendframe.llm.suffixes import repeated_passages
-from lendframe.llm.tables import send_code
 from lendframe.llm.tokenfile import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    send_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,8 @@ import zipfile
 from pathlib import Path
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import lendframe
 from lendframe.sources.workspace import work_dir, written
@@ -44,3 +45,16 @@ class Store:
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         return written(df, f"{self.folder}/{self.count}")
+
+
+def sampled_texts(docs: DataFrame, looks: Column, rows: int, chars: int) -> list[str]:
+    """At most `rows` different texts of at most `chars` characters that meet a condition, those of the lowest hashes.
+
+    A cut in the range of hashes leaves about twice as many before they are put in order, so what is sent to the driver
+    depends on `rows` and not on the number of tasks.
+    """
+    send_code(docs.sparkSession)
+    fit = docs.where(looks & (F.length("text") <= chars)).select("text", F.xxhash64("text").alias("hash"))
+    share = min(1.0, 2 * rows / max(1, fit.count()))
+    lowest = fit.where(F.col("hash") <= F.lit(int(share * (2**64 - 1)) - 2**63)).distinct()
+    return [row["text"] for row in lowest.orderBy("hash", "text").limit(rows).collect()]
