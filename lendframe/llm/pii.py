@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lendframe.llm import flat
 from lendframe.llm.crf import Field, features, sequences
+from lendframe.llm.tables import sampled_texts
 
 KINDS = "email", "ip", "card", "phone"
 TRAIN_ROWS, TRAIN_CHARS = 400, 20_000
@@ -114,11 +115,10 @@ def labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     """A field fitted to at most `rows` documents with a digit, none longer than TRAIN_CHARS, chosen by a hash."""
-    sample = docs.where(F.col("text").rlike("[0-9]") & (F.length("text") <= TRAIN_CHARS)).select("text")
-    sample = sample.orderBy(F.xxhash64("text"), "text").limit(rows).collect()
+    sample = sampled_texts(docs, F.col("text").rlike("[0-9]"), rows, TRAIN_CHARS)
     field = Field(len(KINDS) + 1)
     if sample:
-        field.train(*labelled([row["text"] for row in sample]))
+        field.train(*labelled(sample))
     return field
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lendframe.llm import flat
 from lendframe.llm.automata import Automaton
+from lendframe.llm.tables import sampled_texts
 
 KINDS = "assign", "access", "hex"
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_VALUES = 600, 20_000, 400
@@ -137,9 +138,7 @@ def labelled_values(texts: list[str], most: int = TRAIN_VALUES) -> list[list[byt
 def learned(docs: DataFrame, rows: int = TRAIN_ROWS) -> Formats:
     """Formats from at most `rows` documents that look like having secrets, none longer than TRAIN_CHARS."""
     looks = F.col("text").rlike("(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]|[0-9a-f]{16}")
-    sample = docs.where(looks & (F.length("text") <= TRAIN_CHARS)).select("text")
-    sample = sample.orderBy(F.xxhash64("text"), "text").limit(rows).collect()
-    return Formats(labelled_values([row["text"] for row in sample]))
+    return Formats(labelled_values(sampled_texts(docs, looks, rows, TRAIN_CHARS)))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
