@@ -80,17 +80,3 @@ def mentions(columns: list[str], term: str) -> Column:
     for name in columns:
         match = match | F.contains(F.lower(F.coalesce(F.col(name), F.lit(""))), needle)
     return match
-
-
-# Room for 2**46 (seventy trillion) loan ids below a day number, in one signed 64-bit integer.
-_ID_SPAN = 2**46
-
-
-def earliest_first(day: str, key: str) -> Column:
-    """One integer that orders like (day, key). A struct would do, but forces a sort-based aggregate."""
-    return F.unix_date(day).cast("long") * F.lit(_ID_SPAN) + F.col(key)
-
-
-def latest_lowest(day: str, key: str) -> Column:
-    """One integer whose maximum is the latest day and, on that day, the lowest key."""
-    return F.unix_date(day).cast("long") * F.lit(_ID_SPAN) + (F.lit(_ID_SPAN - 1) - F.col(key))

@@ -1,50 +1,52 @@
 """Ordered per-group calculations that stay parallel when one group holds a large share of the rows.
 
-A plain window sends a whole group to one task. Here the rows of a *hot* group are cut into chunks that follow the
-window order; every chunk is worked on separately and then shifted by what the earlier chunks add up to. Cold groups
-keep a single chunk, so ordinary data pays one pass over the key column and no extra shuffle of its rows.
+A plain window sends a whole group to one task. Groups of up to `HotRule.rows` rows are left to it. The rows of a *hot*
+group, one above that mark, are dealt into chunks of about equal size by range partitioning in the order of the window,
+whatever the values of its columns are; every chunk is worked on separately and then shifted by what the earlier chunks add
+up to. The chunks are written to the shared folder once, so that all parts of the calculation see the same ones.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lendframe.sources.workspace import work_dir, written
+
 
 @dataclass(frozen=True)
 class HotRule:
-    """A group is hot when it has more than `floor` rows and more than one `share`-th of all rows.
-
-    Fewer than `share` groups can pass the second test, whatever the data: the hot list has a proven size bound.
-    """
+    """A group is hot when it has more than `rows` rows, what one task may hold. There are at most total / rows of them."""
 
-    share: int = 4096
-    floor: int = 1_000_000
+    rows: int = 1_000_000
 
 
 DEFAULT_RULE = HotRule()
 
 
 def hot_keys(df: DataFrame, keys: list[str], rule: HotRule = DEFAULT_RULE) -> DataFrame:
-    """Key values of hot groups, fewer than `rule.share` rows. Counts are combined on the map side."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where((F.col("_rows") > rule.floor) & (F.col("_rows") * rule.share > total))
+    """Key values of hot groups. Counts are combined on the map side."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rule.rows).select(*keys)
 
 
-def id_block(column: str, bits: int = 20) -> Column:
-    """Order-preserving block number of an integer key; a block of unique keys has at most 2**bits rows."""
-    return F.shiftright(F.col(column).cast("long"), bits)
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equal keys, null being equal to null."""
+    return reduce(and_, (left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys), F.lit(True))
+
+
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
 
 
 def grouped_window(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: list[Column],
     *,
     row_number: str | None = None,
     running_sum: dict[str, str] | None = None,
@@ -53,83 +55,85 @@ def grouped_window(
 ) -> DataFrame:
     """Add row_number, running sums and lags over `PARTITION BY keys ORDER BY order`.
 
-    `order` must be unique inside a group and `chunk` must be monotone in it (rows with an earlier order never have a
-    later chunk). With no keys the whole input is one group and is always chunked. `running_sum` and `lag` map new
-    column names to input columns.
+    `order` must be unique inside a group. With no keys the whole input is one group. `running_sum` and `lag` map new
+    column names to input columns. Groups are counted when this is called; only where one is hot, rows are dealt into
+    chunks.
     """
-    running_sum = running_sum or {}
-    lag = lag or {}
-    cut = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(chunk)])
+    running_sum, lag = running_sum or {}, lag or {}
+    outs = [*([row_number] if row_number else []), *running_sum, *lag]
+
+    def over(rows: DataFrame, parts: list[str]) -> DataFrame:
+        inside = W.partitionBy(*parts).orderBy(*order)
+        upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+        sums = {out: F.sum(src).over(upto) for out, src in running_sum.items()}
+        return rows.select(
+            "*",
+            *([F.row_number().over(inside).cast("long").alias(row_number)] if row_number else []),
+            *[F.coalesce(total, F.lit(0)).alias(out) for out, total in sums.items()],
+            *[F.lag(src).over(inside).alias(out) for out, src in lag.items()],
+        )
+
+    kinds = {f.name: f.dataType for f in df.select(*[F.sum(s).alias(o) for o, s in running_sum.items()]).schema}
+    casts = {out: F.col(out).cast(kind) for out, kind in kinds.items()}
     if keys:
-        hot = hot_keys(df, keys, rule).select(*keys, F.lit(True).alias("_hot"))
-        # Fewer than rule.share rows by construction, so this broadcast cannot grow with the data.
-        rows = df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", F.when(F.col("_hot"), cut)).drop("_hot")
+        hot = hot_keys(df, keys, rule)
+        if hot.isEmpty():
+            return over(df, keys).withColumns(casts).select(*df.columns, *outs)
+        hot = _renamed(hot, keys)
+        cold, rows = (df.join(hot, _same(df, hot, keys), how) for how in ("left_anti", "left_semi"))
+    elif df.limit(rule.rows + 1).count() <= rule.rows:
+        return over(df, []).withColumns(casts).select(*df.columns, *outs)
     else:
-        rows = df.withColumn("_chunk", cut)
-    # Without the explicit exchange, rows that already lie by `keys` (after a join, say) would satisfy the window as they
-    # are, with all chunks of a hot group still in one task.
-    rows = rows.repartition(*keys, "_chunk") if keys else rows
-
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = rows.select(
-        "*",
-        F.row_number().over(inside).cast("long").alias("_rn"),
-        *[F.sum(src).over(upto).alias(f"_sum_{out}") for out, src in running_sum.items()],
-        *[F.lag(src).over(inside).alias(f"_lag_{out}") for out, src in lag.items()],
-    )
+        cold, rows = None, df
 
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id())
+    dealt = written(dealt, work_dir(df.sparkSession))
+    local = over(dealt, [*keys, "_chunk"]).withColumn(
+        "_first", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order)) == 1
+    )
     # One row per chunk of a hot group; the window below runs over chunks, not over rows.
-    totals = (
-        rows.where(F.col("_chunk").isNotNull())
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.sum(src).alias(f"_s_{out}") for out, src in running_sum.items()],
-            *[F.max_by(src, F.struct(*order)).alias(f"_l_{out}") for out, src in lag.items()],
-        )
+    totals = dealt.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(src).alias(f"_s_{out}") for out, src in running_sum.items()],
+        *[F.max_by(src, F.struct(*order)).alias(f"_l_{out}") for out, src in lag.items()],
     )
-    chunks = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
+    chunks = W.partitionBy(*keys).orderBy("_chunk")
     before = chunks.rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
-        "_chunk",
+        F.col("_chunk").alias("_k__chunk"),
         F.sum("_n").over(before).alias("_before_n"),
         *[F.sum(f"_s_{out}").over(before).alias(f"_before_{out}") for out in running_sum],
         *[F.lag(f"_l_{out}").over(chunks).alias(f"_last_{out}") for out in lag],
     )
-
-    kinds = {f.name: f.dataType for f in local.schema}
-    added = []
+    offsets = _renamed(offsets, keys)
+    joined = local.join(offsets, _same(local, offsets, [*keys, "_chunk"]))
+    shifted = {out: F.col(out) + F.coalesce(F.col(f"_before_{out}"), F.lit(0)) for out in running_sum}
     if row_number:
-        added.append((F.col("_rn") + F.coalesce("_before_n", F.lit(0))).alias(row_number))
-    for out in running_sum:
-        kind = kinds[f"_sum_{out}"]
-        shift = F.coalesce(F.col(f"_before_{out}"), F.lit(0))
-        added.append((F.coalesce(F.col(f"_sum_{out}"), F.lit(0)) + shift).cast(kind).alias(out))
-    for out in lag:
-        first = F.col("_rn") == 1
-        added.append(F.when(first, F.col(f"_last_{out}")).otherwise(F.col(f"_lag_{out}")).alias(out))
-    return local.join(offsets, [*keys, "_chunk"], "left").select(*df.columns, *added)
+        shifted[row_number] = F.col(row_number) + F.coalesce("_before_n", F.lit(0))
+    shifted |= {out: F.when(F.col("_first"), F.col(f"_last_{out}")).otherwise(F.col(out)) for out in lag}
+    done = joined.withColumns(shifted).withColumns(casts).select(*df.columns, *outs)
+    return done if cold is None else done.unionByName(over(cold, keys).withColumns(casts).select(*df.columns, *outs))
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
     """Per key, the value of each column at the highest `order` among the rows where its condition holds.
 
-    `values` maps new names to (input column, condition). Works in two steps, first per key and slice of `order`, so the
-    rows of one key are never reduced in one task even when they arrive there together from a join.
+    `values` maps new names to (input column, condition); `order` is unique. First only the highest `order` of each key is
+    found, combined on the map side, then the one row it belongs to is fetched.
     """
-    slices = 64
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices))).repartition(key, "_slice")
-    when = {out: F.when(cond, F.col(order)) for out, (_, cond) in values.items()}
-    parts = sliced.groupBy(key, "_slice").agg(
-        *[F.max_by(src, when[out]).alias(out) for out, (src, _) in values.items()],
-        *[F.max(when[out]).alias(f"_at_{out}") for out in values],
+    numbered = df.groupBy(key).agg(
+        *[F.max(F.when(cond, F.col(order))).alias(f"_at_{out}") for out, (_, cond) in values.items()]
     )
-    return parts.groupBy(key).agg(*[F.max_by(out, f"_at_{out}").alias(out) for out in values])
+    found = numbered
+    for out, (src, _) in values.items():
+        rows = df.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(src).alias(out))
+        there = found[key].eqNullSafe(rows["_key"]) & (found[f"_at_{out}"] == rows["_order"])
+        found = found.join(rows, there, "left").drop("_key", "_order")
+    return found.select(key, *values)
 
 
-def global_ranks(df: DataFrame, score: str, tie: str, *, bits: int = 16, rule: HotRule = DEFAULT_RULE) -> DataFrame:
+def global_ranks(df: DataFrame, score: str, tie: str, *, rule: HotRule = DEFAULT_RULE) -> DataFrame:
     """Rank all rows by an integer `score`, highest first, ties numbered by the unique key `tie`.
 
     Adds `rank_with_gaps`, `rank_no_gaps`, `row_num`, `rows_below` (rows with a smaller score) and `all_rows`. Works on the
@@ -146,9 +150,9 @@ def global_ranks(df: DataFrame, score: str, tie: str, *, bits: int = 16, rule: H
         histogram,
         [],
         ["_down"],
-        [id_block("_down", bits)],
         row_number="rank_no_gaps",
         running_sum={"_through": "_here"},
+        rule=rule,
     ).select(
         score,
         (F.col("_through") - F.col("_here") + 1).alias("rank_with_gaps"),
@@ -156,7 +160,7 @@ def global_ranks(df: DataFrame, score: str, tie: str, *, bits: int = 16, rule: H
         (total - F.col("_through")).alias("rows_below"),
         total.alias("all_rows"),
     )
-    numbered = grouped_window(df, [score], [tie], [id_block(tie)], row_number="_in_score", rule=rule)
+    numbered = grouped_window(df, [score], [tie], row_number="_in_score", rule=rule)
     return (
         numbered.join(ranked, score)
         .withColumn("row_num", F.col("rank_with_gaps") - 1 + F.col("_in_score"))
@@ -164,6 +168,6 @@ def global_ranks(df: DataFrame, score: str, tie: str, *, bits: int = 16, rule: H
     )
 
 
-def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Number all rows from 1 by a unique integer column, without a single-task sort of the input."""
-    return grouped_window(df, [], [order], [id_block(order)], row_number=out)
+def number_rows(df: DataFrame, order: str, out: str, rule: HotRule = DEFAULT_RULE) -> DataFrame:
+    """Number all rows from 1 by a unique column, without a single-task sort of a large input."""
+    return grouped_window(df, [], [order], row_number=out, rule=rule)

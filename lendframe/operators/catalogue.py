@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions import columns as c
-from lendframe.functions.grouped import grouped_window, id_block
+from lendframe.functions.grouped import grouped_window
 
 # Fixed value: how many copies of one isbn are listed in one text cell before the list goes on in the next part.
-TITLES_PER_CELL = 10_000
 
 
 def list_books(books: DataFrame) -> DataFrame:
@@ -60,7 +59,9 @@ def top_borrowed(books: DataFrame, loans: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def never_borrowed(books: DataFrame, loans: DataFrame) -> DataFrame:
+def never_borrowed(books: DataFrame, loans: DataFrame, since: date | None = None) -> DataFrame:
+    """Books without a loan, or without one on or after the day `since`."""
+    loans = loans if since is None else loans.where(F.col("loan_date") >= F.lit(since))
     return (
         books.join(loans.select("book_id"), "book_id", "left_anti")
         .select("book_id", "title", "author", "year_published")
@@ -126,24 +127,13 @@ def genre_by_quarter(loans: DataFrame, books: DataFrame, as_of: date) -> DataFra
 
 
 def duplicate_isbns(books: DataFrame) -> DataFrame:
-    """Isbns carried by several books, with their titles and ids.
-
-    A very long list goes on in further rows (part 1, 2, ...) of TITLES_PER_CELL books, so no cell is cut short and no
-    task has to hold a whole group. Ordinary duplicates have the single part 0.
-    """
+    """The books of isbns that several books carry, numbered within their isbn by id. One row per book."""
     counts = (
         books.groupBy("isbn").agg(F.count(F.lit(1)).alias("duplicate_count")).where(F.col("duplicate_count") > 1)
     )
     repeated = books.select("isbn", "book_id", "title").join(counts, "isbn")
-    numbered = grouped_window(repeated, ["isbn"], ["book_id"], [id_block("book_id")], row_number="_n")
-    part = F.call_function("div", F.col("_n") - 1, F.lit(TITLES_PER_CELL)).cast("int")
     return (
-        numbered.withColumn("part", part)
-        .groupBy("isbn", "duplicate_count", "part")
-        .agg(
-            F.expr("listagg(title, ' | ') WITHIN GROUP (ORDER BY book_id)").alias("conflicting_titles"),
-            F.expr("listagg(CAST(book_id AS STRING), ', ') WITHIN GROUP (ORDER BY book_id)").alias("book_ids"),
-        )
-        .select("isbn", "duplicate_count", "part", "conflicting_titles", "book_ids")
-        .orderBy(F.desc("duplicate_count"), "isbn", "part")
+        grouped_window(repeated, ["isbn"], ["book_id"], row_number="position")
+        .select("isbn", "duplicate_count", "position", "book_id", "title")
+        .orderBy(F.desc("duplicate_count"), "isbn", "position")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions import columns as c
-from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window, id_block
+from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window
 from lendframe.operators import jobs
 from lendframe.operators.jobs import JobResult, decided, first_per_key, first_reason, join_decisions, numbered_after
 from lendframe.schema import MAX_RENEWALS, TableSet, conform
@@ -55,7 +55,6 @@ def issue_loans(lib: TableSet, requests: DataFrame, as_of: date, rule: HotRule =
         checked.where(F.col("_reason").isNull()),
         ["book_id"],
         ["first_seq"],
-        [id_block("first_seq")],
         row_number="_place",
         rule=rule,
     ).join(lib.books.select("book_id", "available_copies"), "book_id", "left")
@@ -125,8 +124,10 @@ def return_loans(lib: TableSet, requests: DataFrame, as_of: date) -> JobResult:
 
 def renew_loans(lib: TableSet, requests: DataFrame, rule: HotRule = DEFAULT_RULE) -> JobResult:
     """Extend loans by the member's period from the old due date: requests (seq, loan_id)."""
-    turns = grouped_window(requests, ["loan_id"], ["seq"], [id_block("seq")], row_number="_turn", rule=rule)
-    loans = lib.loans.select("loan_id", "member_id", "return_date", "renewed_count")
+    turns = grouped_window(requests, ["loan_id"], ["seq"], row_number="_turn", rule=rule)
+    tiers = lib.members.select("member_id", "membership_type")
+    # A loan whose member is gone can't be renewed: neither decision nor state knows it.
+    loans = lib.loans.select("loan_id", "member_id", "return_date", "renewed_count").join(tiers, "member_id")
     checked = turns.join(loans, "loan_id", "left")
     outcomes = decided(
         checked,
@@ -142,7 +143,6 @@ def renew_loans(lib: TableSet, requests: DataFrame, rule: HotRule = DEFAULT_RULE
     times = F.least(F.col("_asked"), F.greatest(F.lit(MAX_RENEWALS) - F.col("renewed_count"), F.lit(0)))
     extended = (
         asked.join(loans.where(F.col("return_date").isNull()), "loan_id")
-        .join(lib.members.select("member_id", "membership_type"), "member_id")
         .select("loan_id", times.cast("int").alias("_times"), c.loan_days().alias("_days"))
     )
     more = F.coalesce("_times", F.lit(0))

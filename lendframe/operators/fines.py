@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendframe.functions import columns as c
-from lendframe.functions.grouped import DEFAULT_RULE, HotRule, global_ranks, grouped_window, id_block
+from lendframe.functions.grouped import DEFAULT_RULE, HotRule, global_ranks, grouped_window
 from lendframe.operators.loans import month_of
 from lendframe.schema import MONEY, MONEY_SUM
 
@@ -32,14 +32,13 @@ def fine_revenue_by_month(fines: DataFrame) -> DataFrame:
 
 
 def running_fines(
-    fines: DataFrame, members: DataFrame, rule: HotRule = DEFAULT_RULE, bits: int = 24
+    fines: DataFrame, members: DataFrame, rule: HotRule = DEFAULT_RULE
 ) -> DataFrame:
     """Every fine with the member's running total in order of issue."""
     summed = grouped_window(
         fines.select("fine_id", "member_id", "issued_date", "amount"),
         ["member_id"],
         ["issued_date", "fine_id"],
-        [F.col("issued_date"), id_block("fine_id", bits)],
         running_sum={"running_total": "amount"},
         rule=rule,
     )

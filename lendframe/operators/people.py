@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendframe.functions import columns as c
-from lendframe.functions.grouped import DEFAULT_RULE, HotRule, global_ranks, grouped_window, id_block
+from lendframe.functions.grouped import DEFAULT_RULE, HotRule, global_ranks, grouped_window
 from lendframe.functions.pairs import pairs_within
 from lendframe.operators.loans import month_of
 
@@ -84,7 +84,33 @@ def members_with_all_genres(members: DataFrame, loans: DataFrame, books: DataFra
     )
 
 
-def shared_borrowers(loans: DataFrame, members: DataFrame, books: DataFrame, cell_rows: int = 20_000) -> DataFrame:
+def shared_borrowers(
+    loans: DataFrame, members: DataFrame, books: DataFrame, rule: HotRule = DEFAULT_RULE
+) -> DataFrame:
+    """Every borrower of a book with the number of its other borrowers, and of those with a higher member id.
+
+    The second number counts each pair of borrowers once. One row per book and borrower, however many pairs there are;
+    `borrower_pairs` lists the pairs themselves for chosen books.
+    """
+    borrowers = loans.select("book_id", "member_id").distinct()
+    placed = grouped_window(borrowers, ["book_id"], ["member_id"], row_number="_place", rule=rule)
+    sizes = borrowers.groupBy("book_id").agg(F.count(F.lit(1)).alias("_all"))
+    return (
+        placed.join(sizes, "book_id")
+        .join(members.select("member_id", "full_name"), "member_id")
+        .join(books.select("book_id", F.col("title").alias("shared_book")), "book_id")
+        .select(
+            "book_id",
+            "shared_book",
+            "member_id",
+            "full_name",
+            (F.col("_all") - 1).alias("co_borrowers"),
+            (F.col("_all") - F.col("_place")).alias("later_co_borrowers"),
+        )
+    )
+
+
+def borrower_pairs(loans: DataFrame, members: DataFrame, books: DataFrame, cell_rows: int = 20_000) -> DataFrame:
     """Distinct (member_1, member_2, title) where member_1 has the smaller id and both borrowed the same book.
 
     Loans collapse to one row per book and borrower name, with that name's smallest and largest id: a pair of names
@@ -117,7 +143,7 @@ def rank_members(members: DataFrame, loans: DataFrame, rule: HotRule = DEFAULT_R
         "member_id", "full_name", F.coalesce("total_loans", F.lit(0)).alias("total_loans")
     )
     return (
-        global_ranks(totals, "total_loans", "member_id", bits=10, rule=rule)
+        global_ranks(totals, "total_loans", "member_id", rule=rule)
         .orderBy("row_num")
         .select("full_name", "total_loans", "rank_with_gaps", "rank_no_gaps", "row_num")
     )
@@ -126,8 +152,8 @@ def rank_members(members: DataFrame, loans: DataFrame, rule: HotRule = DEFAULT_R
 def first_last_book(loans: DataFrame, members: DataFrame, books: DataFrame) -> DataFrame:
     """First and latest title per member; on a tied day the lower loan id counts for both."""
     ends = loans.groupBy("member_id").agg(
-        F.min_by("book_id", c.earliest_first("loan_date", "loan_id")).alias("first_id"),
-        F.max_by("book_id", c.latest_lowest("loan_date", "loan_id")).alias("latest_id"),
+        F.min(F.struct("loan_date", "loan_id", "book_id"))["book_id"].alias("first_id"),
+        F.max(F.struct("loan_date", (-F.col("loan_id")).alias("lower"), "book_id"))["book_id"].alias("latest_id"),
     )
     titles = books.select("book_id", "title")
     first = titles.select(F.col("book_id").alias("first_id"), F.col("title").alias("first_book"))
@@ -142,14 +168,13 @@ def first_last_book(loans: DataFrame, members: DataFrame, books: DataFrame) -> D
 
 
 def borrow_gaps(
-    loans: DataFrame, members: DataFrame, books: DataFrame, rule: HotRule = DEFAULT_RULE, bits: int = 24
+    loans: DataFrame, members: DataFrame, books: DataFrame, rule: HotRule = DEFAULT_RULE
 ) -> DataFrame:
     """Each loan with the same member's previous loan date and the days between."""
     lagged = grouped_window(
         loans.select("loan_id", "book_id", "member_id", "loan_date"),
         ["member_id"],
         ["loan_date", "loan_id"],
-        [F.col("loan_date"), id_block("loan_id", bits)],
         lag={"prev_loan_date": "loan_date"},
         rule=rule,
     )

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window, id_block
+from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window
 from lendframe.operators import jobs
 from lendframe.operators.jobs import JobResult, decided, first_per_key, first_reason, join_decisions, numbered_after
 from lendframe.schema import TableSet, conform
@@ -49,7 +49,7 @@ def create_reservations(
     )
     ends = lib.reservations.groupBy("book_id").agg(F.max("queue_position").alias("_end"))
     placed = grouped_window(
-        granted, ["book_id"], ["first_seq"], [id_block("first_seq")], row_number="_place", rule=rule
+        granted, ["book_id"], ["first_seq"], row_number="_place", rule=rule
     ).join(ends, "book_id", "left")
     added = numbered_after(placed, "first_seq", lib.reservations, "reservation_id").select(
         "reservation_id",
@@ -63,7 +63,7 @@ def create_reservations(
 
 
 def cancel_reservations(
-    lib: TableSet, requests: DataFrame, rule: HotRule = DEFAULT_RULE, bits: int = 20
+    lib: TableSet, requests: DataFrame, rule: HotRule = DEFAULT_RULE
 ) -> JobResult:
     """Remove reservations and close up the queues behind them: requests (seq, reservation_id).
 
@@ -85,7 +85,6 @@ def cancel_reservations(
         flagged,
         ["book_id"],
         ["queue_position"],
-        [id_block("queue_position", bits)],
         running_sum={"_shift": "_gone"},
         rule=rule,
     )

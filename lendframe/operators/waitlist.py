@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window, id_block
+from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window
 
 
 def reservation_chain(
-    reservations: DataFrame, members: DataFrame, rule: HotRule = DEFAULT_RULE, bits: int = 20
+    reservations: DataFrame, members: DataFrame, rule: HotRule = DEFAULT_RULE
 ) -> DataFrame:
     """The unbroken queue of each book, walked from position 1 in steps of one, with the depth of each step.
 
@@ -20,7 +20,6 @@ def reservation_chain(
         reservations.where(F.col("queue_position") >= 1),
         ["book_id"],
         ["queue_position"],
-        [id_block("queue_position", bits)],
         row_number="depth",
         rule=rule,
     )

@@ -27,6 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the searches below: a genre, title patterns and search texts that occur in the given tables.
 GENRE, TITLE_PATTERN, SEARCH_PATTERN = "PROMO", "%ring%", "%12%"
 
+# Books without a loan since this day count as not borrowed.
+UNUSED_SINCE = date(2001, 6, 1)
+
 # Days at which the circulation feed of the stream queries is cut into three arrivals.
 FEED_CUTS = date(1998, 1, 1), date(2000, 1, 1)
 
@@ -69,7 +72,7 @@ def _reports() -> dict[str, Callable[[TableSet], DataFrame]]:
         "overdue_loans": lambda t: loans.overdue_loans(t.loans, t.members, t.books, AS_OF),
         "top_borrowed": lambda t: catalogue.top_borrowed(t.books, t.loans),
         "members_with_unpaid_fines": lambda t: people.members_with_unpaid_fines(t.members, t.fines),
-        "never_borrowed": lambda t: catalogue.never_borrowed(t.books, t.loans),
+        "never_borrowed": lambda t: catalogue.never_borrowed(t.books, t.loans, UNUSED_SINCE),
         "member_history": lambda t: loans.member_history(t.loans, t.books, t.fines, AS_OF),
         "return_time_by_genre": lambda t: loans.return_time_by_genre(t.loans, t.books),
         "monthly_loan_trend": lambda t: loans.monthly_loan_trend(t.loans, AS_OF),

@@ -9,20 +9,21 @@ from __future__ import annotations
 from datetime import date
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendframe.functions import columns as c
-from lendframe.functions.grouped import grouped_window, id_block
+from lendframe.functions.grouped import grouped_window
 from lendframe.schema import TableSet, conform
 from lendframe.sources.workspace import work_dir, written
 
-# Fixed values of the derived library: its reporting day and the horizons for open loans and reservations.
+# Fixed values of the derived library: its reporting day and the horizon for open loans.
 AS_OF = date(2001, 8, 2)
 OPEN_SINCE = date(2001, 2, 3)
-RESERVED_SINCE = date(1999, 8, 2)
 EPOCH = date(1995, 1, 1)
-REFERENCE_ONLY_SIZE = 50
+# Lineitems of one order and number are told apart by their place among these.
+COPIES = 100_000
 
 
 # The columns the views need. Stating them saves a job per file that would only read the footers for the schema.
@@ -41,21 +42,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(STAR[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _tier() -> Column:
+    segment = F.col("c_mktsegment")
+    return (
+        F.when(segment.isin("BUILDING", "MACHINERY"), "standard")
+        .when(segment.isin("FURNITURE", "HOUSEHOLD"), "student")
+        .otherwise("premium")
+    )
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers; they joined when they first ordered, or else on a day that follows from their key."""
     key = F.col("c_custkey")
-    segment = F.col("c_mktsegment")
-    joined = F.date_add(F.lit(EPOCH), (key * 37 % 2400).cast("int"))
-    df = read(spark, sf_dir, "customer").select(
+    first = (
+        read(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("c_custkey"))
+        .agg(F.min(F.col("o_orderdate").cast("date")).alias("first_order"))
+    )
+    joined = F.coalesce("first_order", F.date_add(F.lit(EPOCH), (key * 37 % 2400).cast("int")))
+    df = read(spark, sf_dir, "customer").join(first, "c_custkey", "left").select(
         key.alias("member_id"),
         F.col("c_name").alias("full_name"),
         F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
         F.lit(None).cast("string").alias("phone"),
         joined.alias("join_date"),
         F.date_add(joined, (365 * (1 + key % 7)).cast("int")).alias("expiry_date"),
-        F.when(segment.isin("BUILDING", "MACHINERY"), "standard")
-        .when(segment.isin("FURNITURE", "HOUSEHOLD"), "student")
-        .otherwise("premium")
-        .alias("membership_type"),
+        _tier().alias("membership_type"),
         F.when(F.col("c_acctbal") < 0, "suspended")
         .when(F.col("c_acctbal") > 9000, "expired")
         .otherwise("active")
@@ -65,44 +77,31 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loans plus the return flag `rf` that fines and reservations are derived from."""
-    lines = (
-        read(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.min("l_partkey").alias("book_id"),
-            F.max("l_quantity").cast("int").alias("q"),
-            F.max("l_returnflag").alias("rf"),
-            F.min("l_linestatus").alias("ls"),
-        )
+    """Every lineitem as a loan, plus the return flag `rf` that fines and reservations are derived from."""
+    within = W.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"
     )
-    reference_only = (
-        read(spark, sf_dir, "part")
-        .where(F.col("p_size") == REFERENCE_ONLY_SIZE)
-        .select(F.col("p_partkey").alias("book_id"))
+    lines = read(spark, sf_dir, "lineitem").withColumn("copy", F.row_number().over(within) - 1)
+    tiers = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), _tier().alias("membership_type")
     )
-    orders = read(spark, sf_dir, "orders").select(
+    orders = read(spark, sf_dir, "orders").join(tiers, "o_custkey").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_custkey").alias("member_id"),
         F.col("o_orderdate").cast("date").alias("loan_date"),
+        "membership_type",
     )
-    people = members(spark, sf_dir).select("member_id", "join_date", "membership_type")
-    lent_by_member = orders.join(people, "member_id").where(F.col("loan_date") >= F.col("join_date"))
-    kept = F.date_add("loan_date", F.col("q"))
-    still_out = (F.col("ls") == "O") & (F.col("loan_date") >= F.lit(OPEN_SINCE))
-    return (
-        lines.join(reference_only, "book_id", "left_anti")
-        .join(lent_by_member, "l_orderkey")
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("loan_id"),
-            "book_id",
-            "member_id",
-            "loan_date",
-            F.date_add("loan_date", c.loan_days()).alias("due_date"),
-            F.when(still_out | (kept > F.lit(AS_OF)), F.lit(None).cast("date")).otherwise(kept).alias("return_date"),
-            (F.col("l_linenumber") % 3).cast("short").alias("renewed_count"),
-            "rf",
-        )
+    kept = F.date_add("loan_date", F.col("l_quantity").cast("int"))
+    still_out = (F.col("l_linestatus") == "O") & (F.col("loan_date") >= F.lit(OPEN_SINCE))
+    return lines.join(orders, "l_orderkey").select(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * COPIES + F.col("copy")).alias("loan_id"),
+        F.col("l_partkey").alias("book_id"),
+        "member_id",
+        "loan_date",
+        F.date_add("loan_date", c.loan_days()).alias("due_date"),
+        F.when(still_out | (kept > F.lit(AS_OF)), F.lit(None).cast("date")).otherwise(kept).alias("return_date"),
+        (F.col("l_linenumber") % 3).cast("short").alias("renewed_count"),
+        F.col("l_returnflag").alias("rf"),
     )
 
 
@@ -145,7 +144,7 @@ def books(spark: SparkSession, sf_dir: str, lent: DataFrame) -> DataFrame:
 
 def reservations(lent: DataFrame) -> DataFrame:
     wanted = (
-        lent.where((F.col("rf") == "R") & (F.col("loan_date") >= F.lit(RESERVED_SINCE)))
+        lent.where(F.col("rf") == "R")
         .groupBy("book_id", "member_id")
         .agg(F.min("loan_id").alias("reservation_id"), F.min("loan_date").alias("reserved_date"))
     )
@@ -153,7 +152,6 @@ def reservations(lent: DataFrame) -> DataFrame:
         wanted,
         ["book_id"],
         ["reserved_date", "member_id"],
-        [F.col("reserved_date"), id_block("member_id")],
         row_number="queue_position",
     )
     return conform(queued.withColumn("notified", F.col("reservation_id") % 2 == 1), "reservations")

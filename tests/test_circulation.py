@@ -12,7 +12,7 @@ from tests import serial
 from tests.builders import dicts, library, requests
 
 TODAY = date(2024, 3, 1)
-RULES = [HotRule(share=4, floor=5), HotRule(share=1_000_000, floor=0)]
+RULES = [HotRule(rows=5), HotRule(rows=0)]
 STEP = 2**19  # spreads few requests over many blocks of 2**20
 
 
@@ -114,7 +114,7 @@ def test_reserve(spark, lib, pairs, rule):
 def test_cancel_keeps_old_gaps(spark, lib, rule):
     rows = list(enumerate([2, 5, 5, 8, 9, 13, 99, 16, 1]))
     asked = requests(spark, "seq long, reservation_id long", rows)
-    result = queueing.cancel_reservations(lib, asked, rule, bits=1)
+    result = queueing.cancel_reservations(lib, asked, rule)
     outcomes, queue = serial.cancel(dicts(lib.reservations), rows)
     same_outcomes(result, outcomes)
     same(result.state.reservations, queue, "reservation_id")

@@ -95,7 +95,7 @@ def test_fine_revenue(lib):
 
 
 def test_shared_borrowers(lib):
-    pairs = {(a, b) for a, b, _ in tuples(people.shared_borrowers(lib.loans, lib.members, lib.books))}
+    pairs = {(a, b) for a, b, _ in tuples(people.borrower_pairs(lib.loans, lib.members, lib.books))}
     assert pairs == {
         ("Arjun Sharma", "Rohit Shetty"), ("Arjun Sharma", "Kiran Rao"), ("Priya Nair", "Divya Menon"),
         ("Rohit Shetty", "Lakshmi Iyer"), ("Priya Nair", "Sneha Patel"),
@@ -183,12 +183,27 @@ def test_history_repeats_a_loan_with_two_fines(spark, today):
     assert loans.member_history(small.loans, small.books, small.fines, today, nobody).isEmpty()
 
 
-def test_duplicate_isbns_go_on_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(catalogue, "TITLES_PER_CELL", 2)
-    books = table(spark, "books", [{"isbn": "d", "title": f"t{i}"} for i in range(5)] + [{"isbn": "s"}])
-    assert tuples(catalogue.duplicate_isbns(books)) == [
-        ("d", 5, 0, "t0 | t1", "1, 2"), ("d", 5, 1, "t2 | t3", "3, 4"), ("d", 5, 2, "t4", "5")
-    ]
+def test_duplicate_isbns_have_a_row_per_book(spark):
+    books = table(spark, "books", [{"isbn": "d", "title": f"t{i}"} for i in range(3)] + [{"isbn": "s"}])
+    assert tuples(catalogue.duplicate_isbns(books)) == [("d", 3, 1, 1, "t0"), ("d", 3, 2, 2, "t1"), ("d", 3, 3, 3, "t2")]
+
+
+def test_first_and_last_book_of_very_large_ids(spark):
+    first, second = date(2024, 1, 1), date(2024, 1, 3)
+    small = library(
+        spark, books=[{"title": "early"}, {"title": "late"}], members=[{}],
+        loans=[
+            {"loan_id": 5 * 2**46, "book_id": 1, "loan_date": first}, {"loan_id": 7, "book_id": 2, "loan_date": second},
+            {"loan_id": 2**62, "book_id": 1, "loan_date": second},
+        ],
+    )
+    assert tuples(people.first_last_book(small.loans, small.members, small.books)) == [("n", "early", "late")]
+
+
+def test_shared_borrowers_are_counted_per_borrower(lib):
+    rows = people.shared_borrowers(lib.loans, lib.members, lib.books).collect()
+    pairs = people.borrower_pairs(lib.loans, lib.members, lib.books).count()
+    assert sum(r.later_co_borrowers for r in rows) == pairs and sum(r.co_borrowers for r in rows) == 2 * pairs
 
 
 def test_all_genres(spark):
@@ -228,7 +243,7 @@ def test_same_names_pair_once(spark):
         spark, books=[{}], members=[{"full_name": n} for n in ("x", "x", "y", "x")],
         loans=[{"member_id": i} for i in (1, 2, 3, 4, 4)],
     )
-    assert set(tuples(people.shared_borrowers(small.loans, small.members, small.books, cell_rows=1))) == {
+    assert set(tuples(people.borrower_pairs(small.loans, small.members, small.books, cell_rows=1))) == {
         ("x", "x", "t"), ("x", "y", "t"), ("y", "x", "t")
     }
 

@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lendframe.functions.grouped import HotRule, global_ranks, grouped_window, hot_keys, id_block, number_rows
+from lendframe.functions.grouped import HotRule, global_ranks, grouped_window, hot_keys, number_rows
 from lendframe.functions.pairs import pairs_within
 
-ALL_HOT = HotRule(share=1_000_000, floor=0)
-SOME_HOT = HotRule(share=5, floor=10)
-NONE_HOT = HotRule(share=4096, floor=1_000_000)
+ALL_HOT = HotRule(rows=0)
+SOME_HOT = HotRule(rows=100)
+NONE_HOT = HotRule()
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,7 @@ def test_grouped_window_equals_plain_window(rows, rule):
         F.lag("day").over(w).alias("before"),
     )
     actual = grouped_window(
-        rows, ["k"], ["day", "id"], [F.col("day"), id_block("id", 3)],
+        rows, ["k"], ["day", "id"],
         row_number="n", running_sum={"total": "amount"}, lag={"before": "day"}, rule=rule,
     )
     assert actual.schema["total"].dataType == expected.schema["total"].dataType
@@ -47,7 +47,7 @@ def test_grouped_window_equals_plain_window(rows, rule):
 
 
 def test_grouped_window_without_keys_numbers_all_rows(rows):
-    numbered = grouped_window(rows, [], ["id"], [id_block("id", 4)], row_number="n")
+    numbered = grouped_window(rows, [], ["id"], row_number="n")
     assert [r.n for r in numbered.orderBy("id").collect()] == list(range(1, 901))
     assert number_rows(rows, "id", "n").where(F.col("n") != F.col("id") + 1).count() == 0
 
@@ -57,11 +57,31 @@ def test_hot_keys_finds_only_large_shares(rows):
     assert hot_keys(rows, ["k"], NONE_HOT).count() == 0
 
 
-def test_hot_list_is_smaller_than_share(spark):
-    """The bound holds in the worst case, with all groups of equal size."""
-    even = spark.range(1000).select((F.col("id") % 50).alias("k"))
-    assert hot_keys(even, ["k"], HotRule(share=51, floor=0)).count() == 50
-    assert hot_keys(even, ["k"], HotRule(share=50, floor=0)).count() == 0
+@pytest.mark.parametrize("rule", [ALL_HOT, SOME_HOT])
+def test_null_is_a_group_of_its_own(rows, rule):
+    """A hot group of null keys is dealt into chunks like any other."""
+    some = rows.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    numbered = grouped_window(some, ["k"], ["id"], row_number="n", rule=rule)
+    expected = some.select("*", F.row_number().over(W.partitionBy("k").orderBy("id")).cast("long").alias("n"))
+    assert sorted(numbered.collect(), key=lambda r: r.id) == sorted(expected.collect(), key=lambda r: r.id)
+
+
+def test_chunks_follow_ranks_and_not_values(spark):
+    """Ids far apart and ids close together fill chunks alike: no task of the written chunks gets all rows."""
+    spread = spark.range(20_000).select((F.col("id") * F.col("id") * (1 << 21)).alias("seq"))
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        numbered = number_rows(spread, "seq", "n", HotRule(rows=100))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert numbered.where(F.col("n") != F.sqrt(F.col("seq") / (1 << 21)) + 1).count() == 0
+    files = {f for f in numbered.inputFiles()}
+    rows = [spark.read.parquet(f).count() for f in files if "part-" in f]
+    assert len(rows) > 1 and max(rows) < 0.3 * 20_000
 
 
 @pytest.mark.parametrize("rule", [ALL_HOT, SOME_HOT, NONE_HOT])
@@ -76,7 +96,7 @@ def test_global_ranks_equal_plain_windows(spark, rule):
         F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("c"),
         (F.rank().over(W.orderBy("score")) - 1).alias("d"), F.lit(500).alias("e"),
     )
-    actual = global_ranks(df, "score", "id", bits=2, rule=rule).select(
+    actual = global_ranks(df, "score", "id", rule=rule).select(
         "id", "score", "rank_with_gaps", "rank_no_gaps", "row_num", "rows_below", "all_rows"
     )
     assert sorted(map(tuple, actual.collect())) == sorted(map(tuple, expected.collect()))
@@ -93,5 +113,5 @@ def test_pairs_meet_exactly_once(spark, cell_rows):
 
 def test_empty_input(spark, rows):
     nothing = rows.where("k < 0")
-    assert grouped_window(nothing, ["k"], ["id"], [id_block("id")], row_number="n").count() == 0
+    assert grouped_window(nothing, ["k"], ["id"], row_number="n").count() == 0
     assert number_rows(nothing, "id", "n").count() == 0
