@@ -56,5 +56,6 @@ def sampled_texts(docs: DataFrame, looks: Column, rows: int, chars: int) -> list
     send_code(docs.sparkSession)
     fit = docs.where(looks & (F.length("text") <= chars)).select("text", F.xxhash64("text").alias("hash"))
     share = min(1.0, 2 * rows / max(1, fit.count()))
-    lowest = fit.where(F.col("hash") <= F.lit(int(share * (2**64 - 1)) - 2**63)).distinct()
+    cut = min(2**63 - 1, int(share * 2**64) - 2**63)
+    lowest = fit.where(F.col("hash") <= F.lit(cut)).distinct()
     return [row["text"] for row in lowest.orderBy("hash", "text").limit(rows).collect()]
