@@ -18,7 +18,8 @@ from lendframe.llm.tables import send_code
 
 SCALE, TOP, QUERY_STEP = 1024, 10, 100
 CANDIDATE_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 11
-FANOUT, QUERY_LEAF, LEAF = 24, 12, 64
+FANOUT, QUERY_LEAF, LEAF = 24, 16, 256
+USEFUL = 0.8  # a node is split if its children cover less than this part of its radius
 
 PARTIAL = "query_id long, vec_id long, score long"
 
@@ -36,13 +37,17 @@ class Node:
             return
         # Farthest first: each new centre is the point that is covered worst, until half the radius covers all.
         of, centres = np.zeros(len(rows), np.int64), [centre]
-        while len(centres) < FANOUT and away.max() > self.radius / 2:
+        # No more children than fill leaves to a quarter, or they would end up with a few rows each.
+        most = max(2, min(FANOUT, 4 * len(rows) // leaf))
+        while len(centres) < most and away.max() > self.radius / 2:
             new = int(away.argmax())
             gap = points[rows] - points[rows[new]]
             to_new = np.sqrt(np.einsum("ij,ij->i", gap, gap))
             closer = to_new < away
             of[closer], away = len(centres), np.minimum(away, to_new)
             centres.append(int(rows[new]))
+        if away.max() > USEFUL * self.radius:
+            return
         for k, own in enumerate(centres):
             members = rows[of == k]
             if len(members):
@@ -88,13 +93,20 @@ class Search:
     def compare(self, rows: np.ndarray, others: np.ndarray) -> None:
         source = (self.fq, self.fp) if self.exact is np.float64 else (self.q, self.points)
         scores = (source[0][rows] @ source[1][others].T).astype(np.int64)
-        ids = np.broadcast_to(self.ids[others], scores.shape)
-        own = ids == self.q_ids[rows, None]
-        scores = np.concatenate([self.scores[rows], np.where(own, np.iinfo(np.int64).min, scores)], axis=1)
-        ids = np.concatenate([self.found[rows], np.where(own, np.iinfo(np.int64).max, ids)], axis=1)
-        best = np.lexsort((ids, ~scores), axis=1)[:, : self.k]
-        self.scores[rows] = np.take_along_axis(scores, best, 1)
-        self.found[rows] = np.take_along_axis(ids, best, 1)
+        # Only scores that reach the k-th so far, and the k-th of these (or the next, if a query's own is among them).
+        least = self.scores[rows, -1]
+        if len(others) > self.k + 1:
+            least = np.maximum(least, np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1])
+        hits, at = np.nonzero(scores >= least[:, None])
+        ids = self.ids[others[at]]
+        other = ids != self.q_ids[rows[hits]]
+        hits, ids, values = hits[other], ids[other], scores[hits[other], at[other]]
+        cuts = np.searchsorted(hits, np.arange(len(rows) + 1))
+        for n in np.flatnonzero(np.diff(cuts)):
+            row, new = rows[n], slice(cuts[n], cuts[n + 1])
+            merged, named = np.append(self.scores[row], values[new]), np.append(self.found[row], ids[new])
+            best = np.lexsort((named, ~merged))[: self.k]
+            self.scores[row], self.found[row] = merged[best], named[best]
 
 
 def _search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
