@@ -223,7 +223,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, gram: int = GRA
     ends = F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")
     shared = anchors.groupBy("key").agg(*ends).where("lo <> hi").select("key")
     # One document stands for all that have its text.
-    places = anchors.join(shared, "key").groupBy("key", "text_hash", "place").agg(F.min("doc_id").alias("doc_id"))
+    # Turned keys, so that rows are combined and dealt anew: those of a common passage don't stay where they met their key.
+    turned = F.col("key").bitwiseXOR(F.lit(-1))
+    places = anchors.join(shared, "key").withColumn("key", turned).groupBy("key", "text_hash", "place")
+    places = places.agg(F.min("doc_id").alias("doc_id")).withColumn("key", turned)
     places = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "key")).alias("places"))
     suffixes = docs.join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     suffixes = store.keep(suffixes.mapInArrow(partial(_suffixes, **sizes), SUFFIX))
