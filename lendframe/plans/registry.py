@@ -175,19 +175,19 @@ def _without_author(lib: TableSet) -> TableSet:
     return upkeep.delete_books(lib, lib.books.where(F.col("author") == "Brand#13").select("book_id"))
 
 
-def _undone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store the library, snapshot it, delete expired members, undo, and count what is there."""
+def _undone_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store the library, snapshot it, delete expired members, undo, and show the loans that are there."""
     lib = star_views.stored_library(spark, sf_dir)
     store = TableStore(spark, work_dir(spark))
     store.commit(**dict(lib.items()))
     store.snapshot()
     left = upkeep.delete_members(store.tables(), _lapsed(store.tables())).state
     store.commit(**{n: df for n, df in left.items() if n != "books"})
-    return overview.table_counts(store.undo())
+    return store.undo().loans
 
 
-def _checkpoint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep the library without one author as checkpoint, go back to all books, restore the checkpoint, count."""
+def _checkpoint_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep the library without one author as checkpoint, go back to all books, restore it, show the loans."""
     lib = star_views.stored_library(spark, sf_dir)
     store = TableStore(spark, work_dir(spark))
     whole = store.commit(**dict(lib.items()))
@@ -195,7 +195,7 @@ def _checkpoint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit(**{n: df for n, df in _without_author(whole).items() if n != "members"})
     store.save_checkpoint()
     store.undo()
-    return overview.table_counts(store.restore_checkpoint())
+    return store.restore_checkpoint().loans
 
 
 @contextmanager
@@ -266,8 +266,8 @@ def queries() -> dict[str, Query]:
         found[f"delete_books_{table}"] = lambda spark, sf_dir, table=table: getattr(
             _without_author(star_views.stored_library(spark, sf_dir)), table
         ).drop("added_at")
-    found["snapshot_undo"] = _undone_counts
-    found["checkpoint_restore"] = _checkpoint_counts
+    found["snapshot_undo"] = _undone_loans
+    found["checkpoint_restore"] = _checkpoint_loans
     found["inventory_stream"] = _inventory_stream
     found["circulation_stream"] = _circulation_stream
     return found

@@ -1,28 +1,21 @@
 """Versioned table sets on parquet: snapshot, undo and a named checkpoint without copying data.
 
-Data folders are written once and never changed. A library state is a map from table to folder, so keeping a snapshot
-means keeping a map: it costs the same for 52 rows and for 100 TB. Each operation appends one small log entry with the
-whole store state after it; an operation whose entry is missing has not happened.
+Data folders are written once, under names of their own, and never changed. A library state is a map from table to folder,
+so keeping a snapshot means keeping a map: it costs the same for 52 rows and for 100 TB. Each operation adds one small log
+file with the whole store state after it, by a create that fails if the file is there. An operation whose file is missing
+or incomplete has not happened; of two writers with the same starting point one fails and has changed nothing.
 """
 
 from __future__ import annotations
 
+import json
+import time
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lendframe.schema import SCHEMAS, UNDO_DEPTH, TableSet
 
-_FOLDERS = T.MapType(T.StringType(), T.StringType())
-_ENTRY = T.StructType(
-    [
-        T.StructField("number", T.LongType()),
-        T.StructField("current", _FOLDERS),
-        T.StructField("undo", T.ArrayType(_FOLDERS)),
-        T.StructField("saved", _FOLDERS),
-    ]
-)
-
 # Column each table is sorted by inside its files, so that row-group statistics serve the reports' filters.
 _LAYOUT = {
     "books": "genre",
@@ -33,10 +26,18 @@ _LAYOUT = {
 }
 
 
+# An incomplete log file of this age has lost its writer.
+LEFT_OVER_SECONDS = 60
+
+
 class NothingToRestore(RuntimeError):
     """There is no snapshot or checkpoint to go back to."""
 
 
+class Conflict(RuntimeError):
+    """Another writer was faster; nothing has changed."""
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -45,11 +46,10 @@ class TableStore:
     def commit(self, **changed: DataFrame) -> TableSet:
         """Write the changed tables as new folders and make them current; the others stay as they are."""
         entry = self._last()
-        number = entry["number"] + 1
         current = dict(entry["current"])
         for table, df in changed.items():
-            folder = f"{self.path}/data/{table}/{number:010d}"
-            df.sortWithinPartitions(_LAYOUT[table]).write.mode("overwrite").parquet(folder)
+            folder = f"{self.path}/data/{table}/{uuid4().hex}"
+            df.sortWithinPartitions(_LAYOUT[table]).write.parquet(folder)
             current[table] = folder
         self._append(entry, current=current)
         return self._open(current)
@@ -86,33 +86,65 @@ class TableStore:
     def snapshots(self) -> int:
         return len(self._last()["undo"])
 
-    def vacuum(self) -> int:
-        """Delete data folders that no state, snapshot or checkpoint refers to, and older log entries."""
+    def vacuum(self, grace_seconds: float = 86_400) -> int:
+        """Delete data folders that no state, snapshot or checkpoint refers to, and older log files.
+
+        What is younger than the grace time stays: it may belong to a commit that is under way.
+        """
         entry = self._last()
         states = [entry["current"], *entry["undo"], entry["saved"] or {}]
-        kept = {folder for state in states for folder in state.values()}
-        kept.add(self._log(entry["number"]))
-        folders = [f for table in SCHEMAS for f in self._children(f"{self.path}/data/{table}")]
-        unused = [f for f in folders + self._children(f"{self.path}/log") if f not in kept]
-        for folder in unused:
-            self._fs(folder).delete(self._hadoop_path(folder), True)
+        kept = {folder.rsplit("/", 1)[1] for state in states for folder in state.values()}
+        kept |= {f"{n:010d}.json" for n in range(entry["number"], self._newest() + 1)}
+        folders = [f"{self.path}/log", *(f"{self.path}/data/{table}" for table in _LAYOUT)]
+        before = (time.time() - grace_seconds) * 1000
+        unused = [p for f in folders for p, changed in self._children(f) if p.getName() not in kept and changed <= before]
+        for path in unused:
+            self._fs(self.path).delete(path, True)
         return len(unused)
 
-    def _log(self, number: int) -> str:
-        return f"{self.path}/log/{number:010d}"
+    def _newest(self) -> int:
+        """The highest number of a log file, complete or not."""
+        return max((int(p.getName().split(".")[0]) for p, _ in self._children(f"{self.path}/log")), default=0)
+
+    def _log(self, number: int):
+        return self._hadoop_path(f"{self.path}/log/{number:010d}.json")
+
+    def _read(self, number: int) -> dict | None:
+        """A log entry, or None where its file is missing or its writer was lost on the way."""
+        fs, path = self._fs(self.path), self._log(number)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
 
     def _last(self) -> dict:
-        """Latest log entry. The log has one tiny row per operation since the last vacuum."""
-        if not self._children(f"{self.path}/log"):
-            return {"number": 0, "current": {}, "undo": [], "saved": None}
-        log = self.spark.read.schema(_ENTRY).json(f"{self.path}/log/*")
-        return log.orderBy(F.desc("number")).limit(1).collect()[0].asDict(recursive=True)
+        """The newest complete log entry; only its own small file is read."""
+        entries = (self._read(number) for number in range(self._newest(), 0, -1))
+        nothing = {"number": 0, "current": {}, "undo": [], "saved": None}
+        return next((entry for entry in entries if entry is not None), nothing)
 
     def _append(self, entry: dict, **changes: object) -> None:
-        """Write the next entry; a second writer with the same number fails on the existing folder."""
-        new = {**entry, **changes, "number": entry["number"] + 1}
-        row = tuple(new[f.name] for f in _ENTRY)
-        self.spark.createDataFrame([row], _ENTRY).coalesce(1).write.mode("error").json(self._log(new["number"]))
+        """Create the log file that follows the entry. One that is there belongs to another writer, unless it was left
+        incomplete some time ago: then the next number is taken."""
+        fs, number = self._fs(self.path), entry["number"] + 1
+        while fs.exists(self._log(number)):
+            age = time.time() - fs.getFileStatus(self._log(number)).getModificationTime() / 1000
+            if self._read(number) is not None or age < LEFT_OVER_SECONDS:
+                raise Conflict("the store has changed meanwhile")
+            number += 1
+        try:
+            stream = fs.create(self._log(number), False)
+        except Exception as error:
+            raise Conflict("the store has changed meanwhile") from error
+        try:
+            stream.write(bytearray(json.dumps({**entry, **changes, "number": number}).encode()))
+        finally:
+            stream.close()
 
     def _open(self, folders: dict[str, str]) -> TableSet:
         return TableSet(**{t: self.spark.read.schema(SCHEMAS[t]).parquet(folders[t]) for t in SCHEMAS})
@@ -123,8 +155,9 @@ class TableStore:
     def _fs(self, path: str):
         return self._hadoop_path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _children(self, folder: str) -> list[str]:
+    def _children(self, folder: str) -> list[tuple]:
+        """(path, time of the last change) of what is in a folder."""
         fs, path = self._fs(folder), self._hadoop_path(folder)
         if not fs.exists(path):
             return []
-        return [f"{folder}/{status.getPath().getName()}" for status in fs.listStatus(path)]
+        return [(status.getPath(), status.getModificationTime()) for status in fs.listStatus(path)]

@@ -7,10 +7,14 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "8", name: str = "lendframe") -> SparkSession:
-    """Local session. On a cluster the submitting job brings its own settings; the library sets none."""
+def local_session(cpus: str = "8", name: str = "lendframe", shared: str | None = None) -> SparkSession:
+    """Local session, with `shared` as its shared folder. On a cluster the submitting job brings its own settings; the
+    library sets none."""
+    builder = SparkSession.builder.master(f"local[{cpus}]")
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder
         .appName(name)
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")

@@ -10,8 +10,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", "tests")
+def spark(tmp_path_factory):
+    session = local_session("8", "tests", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
