@@ -27,6 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the searches below: a genre, title patterns and search texts that occur in the given tables.
 GENRE, TITLE_PATTERN, SEARCH_PATTERN = "PROMO", "%ring%", "%12%"
 
+# A day of the year that members_joined_in_year asks for.
+JOINED = date(1996, 6, 1)
+
 # Books without a loan since this day count as not borrowed.
 UNUSED_SINCE = date(2001, 6, 1)
 
@@ -68,7 +71,7 @@ def _reports() -> dict[str, Callable[[TableSet], DataFrame]]:
         "active_members": lambda t: people.active_members(t.members, AS_OF),
         "books_by_genre_or_title": lambda t: catalogue.books_by_genre_or_title(t.books, GENRE, TITLE_PATTERN),
         "genre_counts": lambda t: catalogue.genre_counts(t.books),
-        "members_joined_in_year": lambda t: people.members_joined_in_year(t.members, AS_OF),
+        "members_joined_in_year": lambda t: people.members_joined_in_year(t.members, JOINED),
         "overdue_loans": lambda t: loans.overdue_loans(t.loans, t.members, t.books, AS_OF),
         "top_borrowed": lambda t: catalogue.top_borrowed(t.books, t.loans),
         "members_with_unpaid_fines": lambda t: people.members_with_unpaid_fines(t.members, t.fines),
