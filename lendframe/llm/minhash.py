@@ -11,7 +11,7 @@
 4. Long lists whose classes don't all hang together by then are compared block by block on full sets. Only pairs of
    different components are looked at, and a block reports a spanning forest of its links, so what comes out is linear.
 
-Everything but a block of `BLOCK` classes and a pair of sets is spread over tasks; no list is collected as a whole.
+Everything but a block of about `BLOCK_SHINGLES` and a pair of sets is spread over tasks; no list is collected as a whole.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from lendframe.llm.components import components
 from lendframe.llm.tables import Store
 
 SKETCH, SHINGLE, PERCENT = 64, 5, 80
-SHORT, BLOCK = 8, 512
+SHORT, BLOCK_SHINGLES = 8, 1 << 21
 SIGMAS = 6.0
 BROADCAST_IDS = 500_000
 
@@ -197,29 +197,40 @@ def _blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
 
 
+def known_links(edges: DataFrame) -> DataFrame:
+    """(node, component) of what the links show in one step: each end goes by its neighbour, or itself, of smallest hash.
+
+    Pivots are chosen by the same hash, so most classes go by their pivot. Nodes of one name surely hang together.
+    """
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    both = both.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    best = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("other"))
+    nearer = F.xxhash64("other") < F.xxhash64("node")
+    return best.select("node", F.when(nearer, F.col("other")).otherwise(F.col("node")).alias("component"))
+
+
 def block_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside long lists that hold several: each list is cut into blocks of about BLOCK rows,
+    """Links between components inside long lists that hold several: each list is cut into blocks of about BLOCK_SHINGLES,
     and every block meets itself and every later one."""
     named = (
         lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
     )
     open_lists = named.groupBy("value").agg(
-        F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi")
     ).where(f"m > {SHORT} AND lo <> hi")
-    blocks = open_lists.select("value", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    blocks = open_lists.select("value", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
     cut = named.join(blocks, "value").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")),
     )
     cut = cut.select("value", "doc_id", "component", "block", F.explode(pairs).alias("p")).select("*", "p.x", "p.y")
-    return (
-        cut.drop("p")
-        .join(sets, "doc_id")
-        .groupBy("value", "x", "y")
-        .applyInPandas(partial(_blocks, percent=percent), "a long, b long")
-    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return _blocks(rows, percent)
+
+    return cut.drop("p").join(sets, "doc_id").groupBy("value", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -238,12 +249,10 @@ def near_duplicates(
     sketches = docs.mapInArrow(partial(_sketches, size=size, k=k, percent=percent), sketch_type)
     sketches = store.keep(sketches)
     digest = ["digest_a", "digest_b", "n"]
-    heads = store.keep(
-        sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("head"))
-    )
-    classes = store.keep(
-        sketches.join(heads.withColumnRenamed("head", "doc_id"), [*digest, "doc_id"]).dropDuplicates([*digest, "doc_id"])
-    )
+    classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest)
+    # Equal sets have equal sketches.
+    same = F.first("listed").alias("listed"), F.first("sketch").alias("sketch")
+    classes = store.keep(classes.agg(F.min("doc_id").alias("doc_id"), *same))
     lists = store.keep(inverted_lists(classes))
     pairs = store.keep(estimated(first_pairs(lists, percent), classes, k, percent))
 
@@ -256,17 +265,12 @@ def near_duplicates(
     sets = store.keep(sets)
 
     edges = store.keep(verified(pairs, sets, percent))
-    labels = store.keep(components(edges, store))
-    more = store.keep(block_links(lists, labels, sets, percent))
-    # A document whose id occurs with several texts links their classes.
-    copies = sketches.where("n > 0").join(heads, digest).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    repeats = copies.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select("a")
-    extra = copies.join(repeats, "a", "left_semi")
-    labels = store.keep(components(edges.unionByName(more).unionByName(extra), store))
-
-    named = sketches.select("doc_id", *digest).join(heads, digest, "left")
-    node = F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id"))
-    found = named.select("doc_id", F.col("n").alias("n_shingles"), node.alias("node")).join(labels, "node", "left")
-    found = found.withColumn("component_id", F.coalesce("component", "node"))
+    more = store.keep(block_links(lists, known_links(edges), sets, percent))
+    heads = classes.select(*digest, F.col("doc_id").alias("b"))
+    copies = sketches.select(*digest, F.col("doc_id").alias("a")).join(heads, digest).where("a <> b").select("a", "b")
+    labels = components(edges.unionByName(more).unionByName(copies), store)
+
+    found = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("node"), "left")
+    found = found.withColumn("component_id", F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
