@@ -124,6 +124,8 @@ def _reports() -> dict[str, Callable[[TableSet], DataFrame]]:
             reservation_list(t), ["member_name", "book_title"], "widget"
         ),
         "filter_fines": lambda t: fines.filter_fines(fine_list(t), "unpaid", "Bolt"),
+        "filter_fines_paid": lambda t: fines.filter_fines(fine_list(t), "paid"),
+        "filter_fines_all": lambda t: fines.filter_fines(fine_list(t), "all", "7"),
         "eligible_members": lambda t: people.eligible_members(t.members),
         "issuable_books": lambda t: catalogue.issuable_books(t.books),
         "inventory": lambda t: quality.inventory(t.books, t.loans),
@@ -166,7 +168,7 @@ JOB_TABLES = {
     "update_books": ["books"],
     "update_members": ["members"],
     "delete_members": ["members", "loans", "fines", "reservations"],
-    "delete_members_guarded": ["members", "loans"],
+    "delete_members_guarded": ["members", "loans", "fines", "reservations"],
 }
 
 
