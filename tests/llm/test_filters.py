@@ -54,6 +54,49 @@ def test_quality_keeps_good_labels_and_drops_bad_ones(spark):
     assert bad and sum(bad) <= 0.25 * len(bad)
 
 
+@pytest.mark.parametrize("load", [32, 128, 512])
+def test_buckets_follow_the_corpus_and_junk_stays_out(spark, monkeypatch, load):
+    """Loads per bucket, from a sixteenth of the bound to the bound, with a floor that decides nothing."""
+    monkeypatch.setattr(quality, "LOAD", load)
+    monkeypatch.setattr(quality, "FEWEST", 1)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("doc_id % 2 = 0")
+    model = quality.fitted(docs, known)
+    assert model.buckets // 2 * load < model.raw.sum() <= model.buckets * load
+    rows = quality.quality(docs, known).where("NOT base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
+    assert sum(bad) <= 0.02 * len(bad) and sum(good) >= 0.998 * len(good)
+
+
+def test_bucket_table_in_parts_gives_the_scores_of_whole_counts(spark, given, sf_dir):
+    """Many buckets in several parts; scores as plain counters of the same buckets give them."""
+    import numpy as np
+
+    from lendframe.llm import flat
+
+    rows, docs = given
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    buckets = 4 * quality.PART
+    model = quality.fitted(docs, labels, buckets)
+    assert len(model.parts) == 4 and quality.bucket_count(512 * buckets + 1) == 2 * buckets
+    trusted = {r.doc_id for r in quality.trusted_ids(labels).collect()}
+    own, raw, good = {}, Counter(), Counter()
+    for i, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        own[i] = Counter(quality.grams(data, np.array([0, len(data)]), buckets)[0].tolist())
+        raw += own[i]
+        good += own[i] if i in trusted else Counter()
+    n_raw, n_good = raw.total(), good.total()
+    for r in quality.quality(docs, labels, buckets).collect():
+        mine, n = own[r.doc_id], own[r.doc_id].total()
+        out = r.doc_id in trusted
+        score = sum(
+            k * np.log((good[b] - out * k + 1) / (n_good - out * n + buckets) / (raw[b] - k + 1) * (n_raw - n + buckets))
+            for b, k in mine.items()
+        )
+        assert r.score == pytest.approx(score / max(n, 1), abs=1e-9)
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs, labels):
     found = quality.quality(odd_docs, labels).collect()
     assert len(found) == odd_docs.count()
