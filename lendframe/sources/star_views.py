@@ -10,11 +10,10 @@ from datetime import date
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendframe.functions import columns as c
-from lendframe.functions.grouped import grouped_window
+from lendframe.functions.grouped import DEFAULT_RULE, HotRule, grouped_window, hot_keys
 from lendframe.schema import TableSet, conform
 from lendframe.sources.workspace import work_dir, written
 
@@ -22,8 +21,8 @@ from lendframe.sources.workspace import work_dir, written
 AS_OF = date(2001, 8, 2)
 OPEN_SINCE = date(2001, 2, 3)
 EPOCH = date(1995, 1, 1)
-# Lineitems of one order and number are told apart by their place among these.
-COPIES = 100_000
+# Lineitems of one order and number are told apart by their place among these; those beyond are numbered from FURTHER on.
+COPIES, FURTHER = 100_000, 1 << 59
 
 
 # The columns the views need. Stating them saves a job per file that would only read the footers for the schema.
@@ -76,12 +75,26 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(df, "members")
 
 
-def lent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, sf_dir: str, rule: HotRule = DEFAULT_RULE) -> DataFrame:
+    """Every lineitem with a loan_id of its own, however many there are of one order and number."""
+    keys = ["l_orderkey", "l_linenumber"]
+    lines = read(spark, sf_dir, "lineitem")
+    # Rows that tie in all else are equal; the last column only deals them into chunks.
+    order = ["l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "_row"]
+    rows = lines.withColumn("_row", F.monotonically_increasing_id())
+    rows = grouped_window(rows, keys, order, row_number="copy", rule=rule).withColumn("copy", F.col("copy") - 1)
+    loan_id = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * COPIES + F.col("copy")).alias("loan_id")
+    if hot_keys(lines, keys, HotRule(COPIES)).isEmpty():
+        return rows.select(*lines.columns, loan_id)
+    near = rows.where(F.col("copy") < COPIES).select(*lines.columns, loan_id)
+    far = grouped_window(rows.where(F.col("copy") >= COPIES), [], [*keys, "copy"], row_number="further", rule=rule)
+    far = far.select(*lines.columns, (F.lit(FURTHER) + F.col("further")).alias("loan_id"))
+    return near.unionByName(far)
+
+
+def lent_lines(spark: SparkSession, sf_dir: str, rule: HotRule = DEFAULT_RULE) -> DataFrame:
     """Every lineitem as a loan, plus the return flag `rf` that fines and reservations are derived from."""
-    within = W.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"
-    )
-    lines = read(spark, sf_dir, "lineitem").withColumn("copy", F.row_number().over(within) - 1)
+    lines = numbered_lines(spark, sf_dir, rule)
     tiers = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), _tier().alias("membership_type")
     )
@@ -94,7 +107,7 @@ def lent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.date_add("loan_date", F.col("l_quantity").cast("int"))
     still_out = (F.col("l_linestatus") == "O") & (F.col("loan_date") >= F.lit(OPEN_SINCE))
     return lines.join(orders, "l_orderkey").select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * COPIES + F.col("copy")).alias("loan_id"),
+        "loan_id",
         F.col("l_partkey").alias("book_id"),
         "member_id",
         "loan_date",
