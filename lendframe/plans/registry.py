@@ -243,7 +243,7 @@ def _run_arrivals(
 
 def _inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies on loan after the whole feed: the last value the stream emitted per book."""
-    emitted = _run_arrivals(spark, sf_dir, lambda lib, feed: inventory_stream(feed, "36500 days"), "update")
+    emitted = _run_arrivals(spark, sf_dir, lambda lib, feed: inventory_stream(feed), "update")
     return emitted.groupBy("book_id").agg(F.max_by("copies_on_loan", "batch").alias("copies_on_loan"))
 
 

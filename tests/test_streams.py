@@ -53,6 +53,19 @@ def test_inventory_stream(spark, events, tmp_path, cuts, shuffled):
     assert {r.book_id: r.n for r in last} == expected
 
 
+def test_inventory_stream_counts_late_and_repeated_events(spark, events, tmp_path):
+    """Files in turned order: most events are months behind the newest when they arrive, and some come again."""
+    sent = events[160:] + events[80:160] + events[:80] + events[100:200]
+    feed = open_feed(spark, write_files(spark, sent, str(tmp_path / "feed"), [80, 160, 240]), files_per_batch=1)
+    emitted = run_available(inventory_stream(feed), str(tmp_path / "run"), "update")
+    last = emitted.groupBy("book_id").agg(F.max_by("copies_on_loan", "batch").alias("n")).collect()
+    steps = {"issue": 1, "return": -1}
+    books = {e["book_id"] for e in events}
+    assert {r.book_id: r.n for r in last} == {
+        b: sum(steps.get(e["action"], 0) for e in events if e["book_id"] == b) for b in books
+    }
+
+
 @pytest.mark.parametrize("cuts, started", [([], False), ([40, 41, 150], True)])
 def test_circulation_stream_equals_serial_desk(spark, events, tmp_path, cuts, started):
     spark.conf.set(
