@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lendframe.llm import covertree, mixing, warc
+from lendframe.llm import covertree, mixing, postings, warc
 from lendframe.llm.minhash import near_duplicates
 from lendframe.llm.pieces import encoded
 from lendframe.llm.pii import personal_data
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives(table(spark, sf_dir, "pages"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_suffix_array,
@@ -75,9 +79,15 @@ def queries() -> dict[str, Query]:
         op8_mixing,
         op9_topk,
         op10_warc,
+        op11_decontamination,
     )
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.SQL, "op9_topk": covertree.SQL, "op10_warc": warc.SQL}
+    return {
+        "op8_mixing": mixing.SQL,
+        "op9_topk": covertree.SQL,
+        "op10_warc": warc.SQL,
+        "op11_decontamination": postings.SQL,
+    }
