@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lendframe.llm import covertree, mixing, postings, warc
+from lendframe.llm import collocations, covertree, mixing, negatives, postings, warc
 from lendframe.llm.minhash import near_duplicates
 from lendframe.llm.pieces import encoded
 from lendframe.llm.pii import personal_data
@@ -67,6 +67,14 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_suffix_array,
@@ -80,6 +88,8 @@ def queries() -> dict[str, Query]:
         op9_topk,
         op10_warc,
         op11_decontamination,
+        op12_collocations,
+        op13_hard_negatives,
     )
     return {query.__name__: query for query in found}
 
@@ -90,4 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_topk": covertree.SQL,
         "op10_warc": warc.SQL,
         "op11_decontamination": postings.SQL,
+        "op12_collocations": collocations.SQL,
+        "op13_hard_negatives": negatives.SQL,
     }
