@@ -24,6 +24,7 @@ from lendframe.llm.tables import Store
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000  # of at most some 50 bytes
+SLOTS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = 0  # the term of a document's end
@@ -39,6 +40,17 @@ def _small(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int")
+
+
+def _of_rows(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings that may belong to rows of `found`: rows are told apart by at most SLOTS slots, which are broadcast, so
+    that of a mostly clean corpus few postings are moved."""
+    slots = F.broadcast(found.select(_slot().alias("slot")).distinct())
+    return lists.withColumn("slot", _slot()).join(slots, "slot", "left_semi").drop("slot")
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct (item_id, phrase): `window` consecutive words of an item, or all of them if it has fewer."""
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string"), words().alias("words"))
@@ -90,8 +102,7 @@ class Index:
 
         rest = self._places("rank > 2").select("w", "offset", "term")
         asked = found.join(rest, "w").select("w", "size", "row", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
-        rows = found.select("row").distinct()
-        lists = self.lists.join(rows, "row", "left_semi")
+        lists = _of_rows(self.lists, found)
         there = asked.join(lists, ["row", "pos", "term"], "left_semi").groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n"))
         return self.store.keep(there.where("n = size - 2").drop("n").unionByName(found.where("size <= 2")))
 
