@@ -151,9 +151,10 @@ def _level(batches: Iterator[pa.RecordBatch], n: int, bits: int, range_bits: int
                 kept = used.copy()
                 kept[1:] |= used[:-1]
                 ids, flags = np.where(used, ids, 0)[kept], flags[kept]
-            if not flags.any():
+            at = _candidates(flags)
+            if not len(at):
                 continue
-            entries = Entries(ids, _candidates(flags), layout)
+            entries = Entries(ids, at, layout)
             ranges = quotient.range_of(entries.parts, layout, min(range_bits, layout.widths[0])).astype(np.int64)
             cuts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])[: len(ranges)])
             blobs = [

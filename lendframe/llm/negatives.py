@@ -144,16 +144,15 @@ def scan(anchor: np.ndarray, block: Block, alive: np.ndarray, k: int, low: np.nd
         scores += (anchor[dims, None] * part).sum(axis=0)
         floor, top = scores + least[at + len(dims)], scores + most[at + len(dims)]
         kept = np.flatnonzero((top >= lowest) & (floor <= highest))
-        if len(low) == 1 or len(kept) <= len(rows) // 2:
-            # Now and then each window by itself: who can't fall into it, or is beaten by k rows that surely do.
-            floor, top, fits = floor[kept], top[kept], np.zeros(len(kept), bool)
-            for lo, hi in zip(low, high, strict=True):
-                own = (top >= lo) & (floor <= hi)
-                sure = floor[(floor >= lo) & (top <= hi)]
-                if len(sure) >= k:
-                    own &= top >= np.partition(sure, len(sure) - k)[len(sure) - k]
-                fits |= own
-            kept = kept[fits]
+        # Each window by itself: who can't fall into it, or is beaten by k rows that surely do.
+        floor, top, fits = floor[kept], top[kept], np.zeros(len(kept), bool)
+        for lo, hi in zip(low, high, strict=True):
+            own = (top >= lo) & (floor <= hi)
+            sure = floor[(floor >= lo) & (top <= hi)]
+            if len(sure) >= k:
+                own &= top >= np.partition(sure, len(sure) - k)[len(sure) - k]
+            fits |= own
+        kept = kept[fits]
         if len(kept) < len(rows):
             rows, scores = rows[kept], scores[kept]
         if not len(rows):
@@ -264,8 +263,8 @@ def hard_negatives(
     Anchors are rows whose vec_id is divisible by `step`; their positives are the best rows of their label. The negatives of
     a pair are the best rows of other labels whose score lies between the two percentages of the positive's score. Scores
     are inner products of the integer vectors, ties go to the smaller id. Rows with a null id, label or vector, or with a
-    null, NaN or infinite component, take no part. Vectors of different lengths are not compared. A row is no partner of an
-    anchor of its own id; of repeated anchor rows one is asked (the smallest by label and vector); repeated other rows count
+    null, NaN or infinite component, take no part; scores have to fit 64 bits. Vectors of different lengths are not compared.
+    A row is no partner of an anchor of its own id; of repeated anchor rows one is asked (the smallest by label and vector); repeated other rows count
     each. Pairs without negatives have no row; an empty table gives an empty result. Other columns are not read.
     """
     store = Store(embeddings.sparkSession)
