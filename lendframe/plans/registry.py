@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.operators import catalogue, circulation, fines, loans, overview, people, quality, queueing, upkeep
-from lendframe.operators import waitlist
+from lendframe.operators import term_search, waitlist
 from lendframe.operators.jobs import JobResult
 from lendframe.schema import TableSet
 from lendframe.sources import requests, star_views
@@ -172,6 +172,17 @@ JOB_TABLES = {
 }
 
 
+def _search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = star_views.stored_library(spark, sf_dir)
+    return term_search.search_terms(lib.books, lib.members, requests.search_terms(spark, sf_dir, lib))
+
+
+def _search_terms_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = star_views.stored_library(spark, sf_dir)
+    terms = requests.search_terms(spark, sf_dir, lib)
+    return term_search.rows_with_terms(catalogue.list_books(lib.books), "book_id", ["title", "author", "genre"], terms)
+
+
 def _lapsed(lib: TableSet) -> DataFrame:
     return lib.members.where(F.col("status") == "expired").select("member_id")
 
@@ -271,6 +282,8 @@ def queries() -> dict[str, Query]:
         found[f"delete_books_{table}"] = lambda spark, sf_dir, table=table: getattr(
             _without_author(star_views.stored_library(spark, sf_dir)), table
         ).drop("added_at")
+    found["search_terms"] = _search_terms
+    found["search_terms_books"] = _search_terms_books
     found["snapshot_undo"] = _undone_loans
     found["checkpoint_restore"] = _checkpoint_loans
     found["inventory_stream"] = _inventory_stream

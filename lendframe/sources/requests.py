@@ -148,6 +148,14 @@ def member_updates(lib: TableSet) -> DataFrame:
     return toggled.unionByName(unknown)
 
 
+def search_terms(spark: SparkSession, sf_dir: str, lib: TableSet) -> DataFrame:
+    """(term): the first word of every title, four and two last digits of every supplier, three letters of every nation."""
+    titles = lib.books.select(F.initcap(F.substring_index("title", " ", 1)).alias("term"))
+    names = read(spark, sf_dir, "supplier").select(F.explode(F.array(F.right("s_name", F.lit(4)), F.right("s_name", F.lit(2)))).alias("term"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.substring("n_name", 2, 3).alias("term"))
+    return titles.unionByName(names).unionByName(nations).distinct()
+
+
 def circulation_feed(lib: TableSet) -> DataFrame:
     """One issue per loan, one renewal per renewed loan, one return per closed loan, as timestamped events."""
     loan = F.col("loan_id")
