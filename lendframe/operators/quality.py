@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.schema import MEMBER_STATES, MEMBERSHIP_TYPES, SCHEMAS, TableSet
+from lendframe.schema import MEMBER_STATES, MEMBERSHIP_TYPES, SCHEMAS, TEXT_LENGTHS, TableSet
 
 UNIQUE_KEYS = [
     ("books", ["book_id"]),
@@ -31,8 +31,10 @@ REFERENCES = [
 
 
 def _domain_rules(table: str) -> dict[str, Column]:
-    """Violation conditions of a table by rule name: NOT NULL columns, then value domains."""
+    """Violation conditions of a table by rule name: NOT NULL columns, text lengths, value domains."""
     rules = {f"{f.name} not null": F.col(f.name).isNull() for f in SCHEMAS[table] if not f.nullable}
+    for name, longest in TEXT_LENGTHS.get(table, {}).items():
+        rules[f"{name} length <= {longest}"] = F.length(name) > longest
     if table == "books":
         rules["year_published > 0"] = F.col("year_published") <= 0
     elif table == "members":
@@ -105,6 +107,28 @@ def inventory(books: DataFrame, loans: DataFrame) -> DataFrame:
     )
 
 
+def maintained_inventory(inventory: DataFrame, loan_changes: DataFrame, book_changes: DataFrame) -> DataFrame:
+    """The inventory after some changes, from the one before and the changes alone: (change, before, after) of loans and of
+    books, as the table store tells them. A loan counts while it has no return date."""
+    stock = inventory.select("book_id", "total_copies", F.col("copies_on_loan").cast("long").alias("on_loan"))
+    gone, come = (
+        loan_changes.where(F.col(f"{side}.loan_id").isNotNull() & F.col(f"{side}.return_date").isNull()).select(
+            F.col(f"{side}.book_id").alias("book_id"), F.lit(None).cast("int").alias("total_copies"), F.lit(step).cast("long").alias("on_loan")
+        )
+        for side, step in (("before", -1), ("after", 1))
+    )
+    totals = book_changes.where("change <> 'delete'").select("after.book_id", F.col("after.total_copies").alias("new_total"))
+    deleted = book_changes.where("change = 'delete'").select("before.book_id")
+    counted = stock.unionByName(gone).unionByName(come).groupBy("book_id").agg(
+        F.max("total_copies").alias("old_total"), F.sum("on_loan").cast("int").alias("copies_on_loan")
+    )
+    counted = counted.join(deleted, "book_id", "left_anti").join(totals, "book_id", "full")
+    total, on_loan = F.coalesce("new_total", "old_total"), F.coalesce("copies_on_loan", F.lit(0))
+    return counted.where(total.isNotNull()).select(
+        "book_id", total.alias("total_copies"), on_loan.alias("copies_on_loan"), (total - on_loan).alias("available_copies")
+    )
+
+
 def check_inventory(books: DataFrame, loans: DataFrame) -> DataFrame:
     """Books whose stored availability differs from what their open loans imply."""
     implied = inventory(books, loans).select("book_id", F.col("available_copies").alias("implied"))

@@ -146,9 +146,23 @@ def update_books(lib: TableSet, requests: DataFrame) -> JobResult:
 def update_members(lib: TableSet, requests: DataFrame, as_of: date) -> JobResult:
     """Overwrite members: requests (seq, member_id, and the columns of `add_members`); the last accepted one wins.
 
-    An unknown member is accepted without effect. Uniqueness of emails is left to the `check_unique` audit.
+    An unknown member is accepted without effect. An email is refused that another member had before the batch, or that an
+    earlier acceptable request of the batch gives to another member; an address that a member gives up is free again from
+    the next batch on.
     """
     checked = requests.withColumn("_reason", _member_checks(as_of))
+    checked = checked.join(lib.members.select("member_id", F.lit(True).alias("_known")), "member_id", "left")
+    held = lib.members.groupBy("email").agg(F.min("member_id").alias("_low"), F.max("member_id").alias("_high"))
+    others = F.col("_known") & ((F.col("_low") != F.col("member_id")) | (F.col("_high") != F.col("member_id")))
+    checked = checked.join(held, "email", "left").withColumn(
+        "_reason", F.coalesce("_reason", first_reason((others, jobs.DUPLICATE_EMAIL)))
+    )
+    firsts = checked.where(F.col("_reason").isNull() & F.col("_known")).groupBy("email")
+    firsts = firsts.agg(F.min_by("member_id", "seq").alias("_first"))
+    claimed = F.col("_known") & (F.col("_first") != F.col("member_id"))
+    checked = checked.join(firsts, "email", "left").withColumn(
+        "_reason", F.coalesce("_reason", first_reason((claimed, jobs.DUPLICATE_EMAIL)))
+    )
     fresh = F.struct("full_name", "email", "phone", _expiry(as_of).alias("expiry_date"), "membership_type", "status")
     final = (
         checked.where(F.col("_reason").isNull()).groupBy("member_id").agg(F.max_by(fresh, "seq").alias("_new"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from lendframe.operators import catalogue, circulation, fines, loans, overview, people, quality, queueing, upkeep
 from lendframe.operators import term_search, waitlist
 from lendframe.operators.jobs import JobResult
-from lendframe.schema import TableSet
+from lendframe.schema import SCHEMAS, TableSet
 from lendframe.sources import requests, star_views
 from lendframe.sources.star_views import AS_OF
-from lendframe.sources.table_store import TableStore
-from lendframe.sources.workspace import work_dir
-from lendframe.streaming.circulation import circulation_stream
+from lendframe.sources.table_store import TableStore, difference
+from lendframe.sources.workspace import work_dir, written
 from lendframe.streaming.inventory import inventory_stream
 from lendframe.streaming.runner import open_feed, run_available
 
@@ -133,6 +132,12 @@ def _reports() -> dict[str, Callable[[TableSet], DataFrame]]:
         "check_unique": quality.check_unique,
         "check_references": quality.check_references,
         "check_inventory": lambda t: quality.check_inventory(t.books, t.loans),
+        "check_domains_faulty": lambda t: quality.check_domains(requests.faulty(t)),
+        "check_unique_faulty": lambda t: quality.check_unique(requests.faulty(t)),
+        "check_references_faulty": lambda t: quality.check_references(requests.faulty(t)),
+        "one_members_history": lambda t: loans.member_history(
+            t.loans, t.books, t.fines, AS_OF, t.members.where(F.col("membership_type") == "student")
+        ),
     }
 
 
@@ -151,6 +156,8 @@ def _jobs() -> dict[str, Callable[[Inputs], JobResult]]:
         "update_members": lambda i: upkeep.update_members(i.lib, requests.member_updates(i.lib), AS_OF),
         "delete_members": lambda i: upkeep.delete_members(i.lib, _lapsed(i.lib)),
         "delete_members_guarded": lambda i: upkeep.delete_members(i.lib, _lapsed(i.lib), guard=True),
+        "delete_members_settled": lambda i: upkeep.delete_members(requests.settled(i.lib), _lapsed(i.lib), guard=True),
+        "update_emails": lambda i: upkeep.update_members(i.lib, requests.email_updates(i.lib), AS_OF),
     }
 
 
@@ -169,6 +176,8 @@ JOB_TABLES = {
     "update_members": ["members"],
     "delete_members": ["members", "loans", "fines", "reservations"],
     "delete_members_guarded": ["members", "loans", "fines", "reservations"],
+    "delete_members_settled": ["members", "loans", "fines", "reservations"],
+    "update_emails": ["members"],
 }
 
 
@@ -214,6 +223,77 @@ def _checkpoint_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.restore_checkpoint().loans
 
 
+def _all_rows(lib: TableSet) -> DataFrame:
+    """(table_name, row_id, content) of every row of all tables, the content as text."""
+
+    def rows(table: str, df: DataFrame) -> DataFrame:
+        content = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in SCHEMAS[table].names])
+        return df.select(F.lit(table).alias("table_name"), F.col(SCHEMAS[table][0].name).alias("row_id"), content.alias("content"))
+
+    return reduce(DataFrame.unionByName, [rows(table, df) for table, df in lib.items()])
+
+
+def _moved(store: TableStore, after: TableSet) -> TableSet:
+    """Bring a store to another state by the change sets of its tables."""
+    now = dict(store.tables().items())
+    return store.apply(**{t: difference(t, now[t], df) for t, df in after.items()})
+
+
+def _filled_store(spark: SparkSession, sf_dir: str) -> TableStore:
+    lib = star_views.stored_library(spark, sf_dir)
+    store = TableStore(spark, work_dir(spark), rows_per_file=100_000)
+    store.commit(**dict(lib.items()))
+    return store
+
+
+def _undone_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deletions as change sets, the first one undone together with the second."""
+    store = _filled_store(spark, sf_dir)
+    store.snapshot()
+    _moved(store, upkeep.delete_members(store.tables(), _lapsed(store.tables())).state)
+    _moved(store, _without_author(store.tables()))
+    return _all_rows(store.undo())
+
+
+def _restored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library without one author as checkpoint, back from a later deletion of members."""
+    store = _filled_store(spark, sf_dir)
+    _moved(store, _without_author(store.tables()))
+    store.save_checkpoint()
+    _moved(store, upkeep.delete_members(store.tables(), _lapsed(store.tables())).state)
+    return _all_rows(store.restore_checkpoint())
+
+
+def _change_set_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables after loans were returned, of which only the changed rows were committed."""
+    store = _filled_store(spark, sf_dir)
+    lib = store.tables()
+    return _all_rows(_moved(store, circulation.return_loans(lib, requests.return_requests(lib), AS_OF).state))
+
+
+def _inventory_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory carried on by the changes of two jobs, shown after each."""
+    inputs = Inputs(spark, sf_dir)
+    store = _filled_store(spark, sf_dir)
+    kept, shown = quality.inventory(inputs.lib.books, inputs.lib.loans), []
+    for step, job in (
+        ("issue", lambda t: circulation.issue_loans(t, inputs.pair_requests, AS_OF).state),
+        ("delete", _without_author),
+    ):
+        since = store.version()
+        _moved(store, job(store.tables()))
+        kept = quality.maintained_inventory(kept, store.changes("loans", since), store.changes("books", since))
+        kept = written(kept, work_dir(spark))
+        shown.append(kept.select(F.lit(step).alias("step"), "*"))
+    return shown[0].unionByName(shown[1])
+
+
+def _looked_up_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loans of all unpaid fines, from the files of a store that hold their ids."""
+    store = _filled_store(spark, sf_dir)
+    return store.lookup("loans", store.tables().fines.where(~F.col("paid")).select("loan_id"))
+
+
 @contextmanager
 def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the length of a stream run."""
@@ -229,45 +309,38 @@ def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 def _run_arrivals(
-    spark: SparkSession, sf_dir: str, job: Callable[[TableSet, DataFrame], DataFrame], mode: str
+    spark: SparkSession,
+    sf_dir: str,
+    job: Callable[[DataFrame], DataFrame],
+    mode: str,
+    arrivals: tuple[int, ...] = (0, 1, 2),
 ) -> DataFrame:
-    """Let the circulation feed arrive in slices of time and take the stream up again after each of them.
+    """Let the circulation feed arrive in slices of time, in the order given, and take the stream up again after each.
 
-    All files of a slice form one micro-batch, so what a batch holds does not depend on how its files were written. State
-    is kept in at most one partition per core: unlike batch shuffles, state partitions are not merged when small.
+    State is kept in at most one partition per core: unlike batch shuffles, state partitions are not merged when small.
     """
     folder = work_dir(spark)
-    lib = star_views.stored_library(spark, sf_dir)
-    feed = requests.circulation_feed(lib)
+    feed = requests.circulation_feed(star_views.stored_library(spark, sf_dir))
     first, second = (F.lit(day).cast("timestamp") for day in FEED_CUTS)
     ts = F.col("ts")
+    slices = ts < first, (ts >= first) & (ts < second), ts >= second
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     with _settings(
         spark, spark_sql_shuffle_partitions=str(partitions), spark_sql_streaming_stateStore_providerClass=store
     ):
-        for slice_ in (ts < first, (ts >= first) & (ts < second), ts >= second):
-            feed.where(slice_).write.mode("append").parquet(f"{folder}/feed")
-            emitted = run_available(job(lib, open_feed(spark, f"{folder}/feed", 10_000)), f"{folder}/run", mode)
+        for number in arrivals:
+            feed.where(slices[number]).write.mode("append").parquet(f"{folder}/feed")
+            emitted = run_available(job(open_feed(spark, f"{folder}/feed")), f"{folder}/run", mode)
     return emitted
 
 
-def _inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _inventory_stream(spark: SparkSession, sf_dir: str, arrivals: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Copies on loan after the whole feed: the last value the stream emitted per book."""
-    emitted = _run_arrivals(spark, sf_dir, lambda lib, feed: inventory_stream(feed), "update")
+    emitted = _run_arrivals(spark, sf_dir, inventory_stream, "update", arrivals)
     return emitted.groupBy("book_id").agg(F.max_by("copies_on_loan", "batch").alias("copies_on_loan"))
 
 
-def _circulation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on the whole feed, starting from full shelves."""
-
-    def job(lib: TableSet, feed: DataFrame) -> DataFrame:
-        full = lib.books.withColumn("available_copies", F.col("total_copies"))
-        return circulation_stream(feed, full, lib.members)
-
-    return _run_arrivals(spark, sf_dir, job, "append").drop("batch")
-
-
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name, report in _reports().items():
@@ -286,6 +359,15 @@ def queries() -> dict[str, Query]:
     found["search_terms_books"] = _search_terms_books
     found["snapshot_undo"] = _undone_loans
     found["checkpoint_restore"] = _checkpoint_loans
+    found["undone_tables"] = _undone_tables
+    found["restored_tables"] = _restored_tables
+    found["change_set_tables"] = _change_set_tables
+    found["inventory_maintained"] = _inventory_maintained
+    found["looked_up_loans"] = _looked_up_loans
+    found["add_books_dates"] = lambda spark, sf_dir: _jobs()["add_books"](Inputs(spark, sf_dir)).state.books.select(
+        "book_id", F.col("added_at").cast("date").alias("added_on")
+    )
     found["inventory_stream"] = _inventory_stream
-    found["circulation_stream"] = _circulation_stream
+    # The newest slice first, the others years behind it, and one of them a second time.
+    found["inventory_stream_late"] = lambda spark, sf_dir: _inventory_stream(spark, sf_dir, (2, 0, 1, 0))
     return found

@@ -20,6 +20,12 @@ UNDO_DEPTH = 15
 MEMBERSHIP_TYPES = ["standard", "premium", "student"]
 MEMBER_STATES = ["active", "suspended", "expired"]
 
+# Longest texts of the columns that have a limit.
+TEXT_LENGTHS = {
+    "books": {"isbn": 13, "title": 255, "author": 255, "genre": 50},
+    "members": {"full_name": 100, "email": 150, "phone": 20},
+}
+
 MONEY = T.DecimalType(8, 2)
 MONEY_SUM = T.DecimalType(18, 2)
 

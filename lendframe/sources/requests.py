@@ -5,11 +5,11 @@ Each request carries `seq`, a unique number that fixes the order in which a fron
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.schema import TableSet
-from lendframe.sources.star_views import read
+from lendframe.sources.star_views import AS_OF, read
 
 
 def pair_requests(spark: SparkSession, sf_dir: str, lib: TableSet) -> DataFrame:
@@ -148,6 +148,68 @@ def member_updates(lib: TableSet) -> DataFrame:
     return toggled.unionByName(unknown)
 
 
+def email_updates(lib: TableSet) -> DataFrame:
+    """New addresses: that of the next member for every fifth one, the same for every seventh, an own one for all others."""
+    member = F.col("member_id")
+    email = (
+        F.when(member % 5 == 0, F.concat(F.lit("customer#"), F.lpad((member + 1).cast("string"), 9, "0"), F.lit("@example.com")))
+        .when(member % 7 == 0, F.lit("shared@example.com"))
+        .otherwise(F.concat(F.lit("m"), member.cast("string"), F.lit("@example.com")))
+    )
+    return lib.members.select(
+        member.alias("seq"), "member_id", "full_name", email.alias("email"), "phone",
+        F.col("expiry_date").cast("string").alias("expiry_date"), "membership_type", "status",
+    )
+
+
+def settled(lib: TableSet) -> TableSet:
+    """The library after every third member has brought all books back and paid all fines."""
+    free = F.col("member_id") % 3 == 0
+    back = F.when(free & F.col("return_date").isNull(), F.lit(AS_OF)).otherwise(F.col("return_date"))
+    return lib.with_tables(
+        loans=lib.loans.withColumn("return_date", back), fines=lib.fines.withColumn("paid", F.col("paid") | free)
+    )
+
+
+def faulty(lib: TableSet) -> TableSet:
+    """The library with faults of every kind that the audits look for."""
+    book, member, loan = F.col("book_id"), F.col("member_id"), F.col("loan_id")
+
+    def spoiled(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.withColumns({name: new.cast(df.schema[name].dataType) for name, new in columns.items()})
+
+    return lib.with_tables(
+        books=spoiled(
+            lib.books,
+            year_published=F.when(book % 9 == 0, -F.col("year_published")).otherwise(F.col("year_published")),
+            title=F.when(book % 11 != 0, F.col("title")),
+            author=F.when(book % 8 == 0, F.repeat("author", F.lit(40))).otherwise(F.col("author")),
+            isbn=F.when(book % 4 == 0, "978").otherwise(F.col("isbn")),
+        ),
+        members=spoiled(
+            lib.members.unionByName(lib.members.where(member % 10 == 1)),
+            email=F.when(member % 6 == 0, "one@example.com").otherwise(F.col("email")),
+            membership_type=F.when(member % 8 == 0, "gold").otherwise(F.col("membership_type")),
+            status=F.when(member % 9 == 0, None).when(member % 10 == 0, "asleep").otherwise(F.col("status")),
+        ),
+        loans=spoiled(
+            lib.loans,
+            book_id=F.when(loan % 17 == 0, -1 - book).otherwise(book),
+            member_id=F.when(loan % 19 != 0, member),
+        ),
+        fines=spoiled(
+            lib.fines,
+            amount=F.when(loan % 5 == 0, -F.col("amount")).otherwise(F.col("amount")),
+            loan_id=F.when(loan % 23 == 0, -1 - loan).otherwise(loan),
+        ),
+        reservations=spoiled(
+            lib.reservations,
+            queue_position=F.when(F.col("queue_position") == 2, 1).otherwise(F.col("queue_position")),
+            member_id=F.when(member % 12 == 0, -member).otherwise(member),
+        ),
+    )
+
+
 def search_terms(spark: SparkSession, sf_dir: str, lib: TableSet) -> DataFrame:
     """(term): the first word of every title, four and two last digits of every supplier, three letters of every nation."""
     titles = lib.books.select(F.initcap(F.substring_index("title", " ", 1)).alias("term"))

@@ -3,11 +3,14 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from lendframe.operators.circulation import issue_loans
+from lendframe.operators.quality import inventory, maintained_inventory
 from lendframe.operators.upkeep import delete_books
-from lendframe.schema import UNDO_DEPTH
-from lendframe.sources.table_store import Conflict, NothingToRestore, TableStore
-from tests.builders import dicts
+from lendframe.schema import UNDO_DEPTH, TableSet, conform
+from lendframe.sources.table_store import Changes, Conflict, NothingToRestore, TableStore, difference
+from tests.builders import DAY, dicts, library
 
 
 @pytest.fixture
@@ -94,3 +97,95 @@ def test_a_cut_off_log_file_is_passed_over(store, tmp_path):
     assert store.tables().books.count() == 15
     store.snapshot()
     assert store.snapshots() == 1
+
+
+@pytest.fixture
+def filed(spark, tmp_path):
+    """A store of 40 loans of 10 books in files of four rows."""
+    small = library(
+        spark,
+        books=[{"title": f"t{i}", "total_copies": 5} for i in range(1, 11)],
+        loans=[{"book_id": 1 + i % 10, "return_date": DAY if i % 3 else None} for i in range(40)],
+        fines=[{"loan_id": i} for i in range(1, 9)],
+    )
+    store = TableStore(spark, str(tmp_path), rows_per_file=4)
+    store.commit(**dict(small.items()))
+    return store, small
+
+
+def loan_rows(store):
+    return {r["loan_id"]: r for r in dicts(store.tables().loans)}
+
+
+def test_a_change_set_rewrites_only_the_files_it_touches(filed):
+    store, small = filed
+    before = store.files("loans")
+    ranges = [(r["first_key"], r["last_key"]) for r in store._manifest(store.version()["loans"]).orderBy("first_key").collect()]
+    assert len(before) == 10 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    since = store.version()
+    picked = small.loans.where("loan_id IN (2, 39)")
+    store.apply(loans=Changes(picked.withColumn("renewed_count", F.lit(2).cast("short")), small.loans.where("loan_id = 3")))
+    after = store.files("loans")
+    assert len(before & after) in (7, 8) and 8 <= len(after) <= 10  # of ten files two, or three if 2 and 3 are apart
+    rows = loan_rows(store)
+    assert set(rows) == set(range(1, 41)) - {3}
+    assert {i for i, r in rows.items() if r["renewed_count"] == 2} == {2, 39}
+    feed = sorted((r["change"], (r["before"] or r["after"])["loan_id"]) for r in store.changes("loans", since).collect())
+    assert feed == [("delete", 3), ("update", 2), ("update", 39)]
+    assert not store.changes("books", since).collect()
+
+
+def test_added_rows_leave_all_files_alone(filed):
+    store, small = filed
+    before, since = store.files("loans"), store.version()
+    more = small.loans.where("loan_id <= 6").withColumn("loan_id", F.col("loan_id") + 100)
+    store.apply(loans=Changes(more), fines=Changes(deletes=small.fines.where("fine_id > 99")))
+    assert before < store.files("loans") and len(loan_rows(store)) == 46
+    assert {r["change"] for r in store.changes("loans", since).collect()} == {"insert"}
+    assert store.tables().fines.count() == 8
+
+
+def test_undo_and_vacuum_after_change_sets(filed):
+    store, small = filed
+    store.snapshot()
+    store.apply(loans=Changes(deletes=small.loans.where("loan_id BETWEEN 5 AND 20")), books=Changes(deletes=small.books))
+    assert store.tables().books.count() == 0 and store.tables().loans.count() == 24
+    assert store.vacuum(0) == 0 or store.tables().loans.count() == 24
+    same_tables(store.undo(), small)
+    store.vacuum(0)
+    same_tables(store.tables(), small)
+
+
+def test_lookup_reads_the_files_of_the_keys(filed, spark):
+    store, _ = filed
+    found = store.lookup("loans", spark.createDataFrame([(7,), (8,), (7,), (999,)], "loan_id long"))
+    assert sorted(r.loan_id for r in found.collect()) == [7, 8] and len(found.inputFiles()) <= 2
+    assert not store.lookup("loans", spark.createDataFrame([], "loan_id long")).collect()
+    assert not store.lookup("loans", spark.createDataFrame([(0,), (5000,)], "loan_id long")).collect()
+
+
+def test_difference_leads_from_one_state_to_the_other(filed, spark):
+    store, small = filed
+    after = delete_books(small, small.books.where("book_id IN (2, 3)"))
+    issued = issue_loans(after, spark.createDataFrame([(1, 5, 1), (2, 2, 1)], "seq long, book_id long, member_id long"), DAY).state
+    changes = {t: difference(t, df, new) for (t, df), (_, new) in zip(small.items(), issued.items())}
+    same_tables(store.apply(**changes), TableSet(**{t: conform(df, t) for t, df in issued.items()}))
+
+
+def test_inventory_follows_the_changes(filed, spark):
+    store, small = filed
+    kept = inventory(small.books, small.loans)
+    for change in (
+        {"loans": Changes(small.loans.where("loan_id < 9").withColumn("return_date", F.lit(DAY)))},
+        {"loans": Changes(small.loans.where("loan_id < 6").withColumn("loan_id", F.col("loan_id") + 50))},
+        {"books": Changes(small.books.where("book_id = 4").withColumn("total_copies", F.lit(9)))},
+        {"books": Changes(deletes=small.books.where("book_id = 6")), "loans": Changes(deletes=small.loans.where("book_id = 6"))},
+        {"books": Changes(small.books.where("book_id = 1").withColumn("book_id", F.lit(77).cast("long")))},
+        {"loans": Changes(small.loans.where("loan_id = 7").withColumn("book_id", F.lit(77).cast("long")))},
+        {"members": Changes()},
+    ):
+        since = store.version()
+        store.apply(**change)
+        kept = maintained_inventory(kept, store.changes("loans", since), store.changes("books", since))
+        now = store.tables()
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, inventory(now.books, now.loans).collect())), change
