@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -30,8 +31,9 @@ from lendframe.llm.files import partition
 from lendframe.llm.tables import Store
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_BYTES, RANGE_KEYS = 4 << 20, 1 << 21
-SALTS = 64
+SHARD_BYTES, RANGE_KEYS = 8 << 20, 1 << 21
+SALTS, SLOTS = 64, 1 << 20
+HASHED_WORDS = 1 << 18
 
 SHARD = "shard long, vocab array<struct<lang:string,word:string,n:long>>, stream binary"
 LEVEL = "shard long, range int, data binary, flags binary"
@@ -50,12 +52,28 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, lengths: np.ndarray) -> bool:
-    return bool((data[_ranges(starts, lengths)] == data[_ranges(other, lengths)]).all())
+    return all(
+        (data[_ranges(starts[a:b], lengths[a:b])] == data[_ranges(other[a:b], lengths[a:b])]).all() for a, b in _parts(len(starts))
+    )
+
+
+def _parts(n: int) -> list[tuple[int, int]]:
+    """Runs of words, so that what is held per byte is held for some of them only."""
+    return [(a, min(n, a + HASHED_WORDS)) for a in range(0, n, HASHED_WORDS)]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
 
 
 def _numbered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, langs: np.ndarray) -> tuple:
     """(first, inverse, counts) of the distinct words of each language. Hashes tell words apart, bytes confirm it."""
-    keys = flat.hashes(data, starts, stops) ^ flat.mix(langs.astype(np.uint64) + np.uint64(1))
+    keys = np.concatenate([flat.hashes(data, starts[a:b], stops[a:b]) for a, b in _parts(len(starts))])
+    keys ^= flat.mix(langs.astype(np.uint64) + np.uint64(1))
     _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
     lengths, of = stops - starts, first[inverse]
     if (langs == langs[of]).all() and (lengths == lengths[of]).all() and _same_bytes(data, starts, starts[of], lengths):
@@ -92,7 +110,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 "shard": pa.array([number], pa.int64()),
                 "vocab": pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), vocab),
-                "stream": pa.array([stream.tobytes()], pa.binary()),
+                "stream": pa.array([_packed(stream)], pa.binary()),
             }
         )
         number += 1
@@ -125,19 +143,20 @@ def _level(batches: Iterator[pa.RecordBatch], n: int, bits: int, range_bits: int
     layout, before = quotient.Layout(n, bits), quotient.Layout(n - 1, bits)
     schema = pa.schema([("shard", pa.int64()), ("range", pa.int32()), ("data", pa.binary()), ("flags", pa.binary())])
     for batch in batches:
-        for row in batch.to_pylist():
+        column = batch.column(batch.schema.get_field_index("answers"))
+        for i, row in enumerate(batch.drop_columns(["answers"]).to_pylist()):
+            own = column[i].values
             if n == 2:
-                ids = np.frombuffer(row["stream"], np.uint32)
+                ids = _unpacked(row["stream"])
                 table = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
-                for entry in row["answers"]:
-                    table[entry["place"] + 1] = entry["id"]
+                table[own.field("place").to_numpy() + 1] = own.field("id").to_numpy()
                 ids = table[ids]
                 flags = ids > 0
             else:
-                ids = np.frombuffer(row["data"], np.uint32)
+                ids = _unpacked(row["data"])
                 flags = np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(ids)).astype(bool)
                 known = Entries(ids, _candidates(flags), before)
-                answers = sorted((a["range"], a["bits"]) for a in row["answers"])
+                answers = sorted((a["range"], a["bits"]) for a in own.to_pylist())
                 sizes = np.unique(quotient.range_of(known.parts, before, min(range_bits, before.widths[0])), return_counts=True)[1]
                 frequent = [np.unpackbits(np.frombuffer(b, np.uint8), count=c) for (_, b), c in zip(answers, sizes, strict=True)]
                 frequent = np.concatenate(frequent).astype(bool) if frequent else np.empty(0, bool)
@@ -165,7 +184,7 @@ def _level(batches: Iterator[pa.RecordBatch], n: int, bits: int, range_bits: int
                 [
                     pa.array([row["shard"]] * (len(blobs) + 1), pa.int64()),
                     pa.array([*ranges[cuts].tolist(), None], pa.int32()),
-                    pa.array([*blobs, ids.astype(np.uint32).tobytes()], pa.binary()),
+                    pa.array([*blobs, _packed(ids)], pa.binary()),
                     pa.array([*([None] * len(blobs)), np.packbits(flags).tobytes()], pa.binary()),
                 ],
                 schema=schema,
@@ -230,7 +249,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, store: Store) ->
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     )
-    shards = store.keep(texts.mapInArrow(_shards, SHARD))
+    buckets = max(1, texts.rdd.getNumPartitions())
+    shards = store.keep_dealt(texts.mapInArrow(_shards, SHARD), "shard", buckets)
     local = shards.select("shard", F.posexplode("vocab").alias("place", "v")).select("shard", "place", "v.*")
     totals = store.keep(local.groupBy("lang").agg(F.sum("n").alias("n")))
     words = store.keep(local.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
@@ -242,13 +262,19 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, store: Store) ->
     tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     range_bits = max(0, (int(tokens) - 1) // RANGE_KEYS).bit_length()
 
-    named = local.join(words.select("lang", "word", "id"), ["lang", "word"])
+    # Words are told apart by at most SLOTS slots, which are broadcast: most rows of `local` are words that are not frequent.
+    slot = F.pmod(F.xxhash64("lang", "word"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = F.broadcast(words.select(slot).distinct())
+    likely = local.select("shard", "place", "lang", "word", slot).join(slots, "slot", "left_semi")
+    named = likely.join(words.select("lang", "word", "id"), ["lang", "word"])
     answers = named.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("answers"))
     states = shards.select("shard", "stream")
     phrases = words.select(F.array("id").alias("ids"), "a")
     for n in range(2, longest + 1):
         sizes = {"n": n, "bits": bits, "range_bits": range_bits}
-        level = store.keep(states.join(answers, "shard").mapInArrow(partial(_level, **sizes), LEVEL))
+        # Shards stay in their buckets; only the answers, and then the filters, move.
+        level = states.join(answers.hint("merge"), "shard").mapInArrow(partial(_level, **sizes), LEVEL)
+        level = store.keep_dealt(level, "shard", buckets)
         filters = level.where("range IS NOT NULL").select("shard", "range", "data")
         ordered = filters.repartition("range").sortWithinPartitions("range", "shard")
         merged = store.keep(ordered.mapInArrow(partial(_merge, **sizes, least=least), MERGED))

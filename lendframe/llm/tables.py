@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +42,28 @@ class Store:
     def __init__(self, spark: SparkSession):
         send_code(spark)
         self.folder, self.count = work_dir(spark), 0
+        self.folders: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
-        return written(df, f"{self.folder}/{self.count}")
+        kept = written(df, f"{self.folder}/{self.count}")
+        self.folders[id(kept)] = f"{self.folder}/{self.count}"
+        return kept
+
+    def drop(self, kept: DataFrame) -> None:
+        """Delete what `keep` wrote, once everything made from it is written itself."""
+        system, path = pafs.FileSystem.from_uri(self.folders.pop(id(kept)))
+        system.delete_dir(path)
+
+    def keep_dealt(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """As `keep`, dealt into buckets by a key: a later join on the key moves the other side only.
+
+        Buckets are known to the catalogue only, so the frame is a table of an own name there; its files are in the folder.
+        """
+        self.count += 1
+        name = f"kept_{uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", f"{self.folder}/{self.count}").saveAsTable(name)
+        return df.sparkSession.table(name)
 
 
 def sampled_texts(docs: DataFrame, looks: Column, rows: int, chars: int) -> list[str]:
