@@ -3,13 +3,13 @@ import random
 import pyarrow.parquet as pq
 import pytest
 
-CLASHING = "n long, node long, key string, value long, a long, b long, size long, source_size long, row string, kept string"
+CLASHING = "n long, node long, key string, value long, a long, b long, size long, source_size long, row string, kept string, trustedid long, Trusted string, TRUSTED_ID string, component_id long"
 DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
 
 
 def make_docs(spark, rows):
     """(doc_id, text[, source]) with columns whose names the operators use themselves."""
-    full = [(i, t, "en", (s or ["src0"])[0], len(t or ""), 1, 2, "k", 3, 4, 5, 6, 7, "r", "x") for i, t, *s in rows]
+    full = [(i, t, "en", (s or ["src0"])[0], len(t or ""), 1, 2, "k", 3, 4, 5, 6, 7, "r", "x", 8, "t", "u", 9) for i, t, *s in rows]
     return spark.createDataFrame(full, DOCS)
 
 

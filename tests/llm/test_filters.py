@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from lendframe.llm import pii, quality, secrets
+from lendframe.llm import flat, pii, quality, secrets
 from lendframe.llm.automata import Automaton
 from lendframe.llm.crf import Field
 from tests.llm.conftest import make_docs
@@ -229,3 +231,16 @@ def test_automaton_tells_formats_apart():
 
     assert share(["".join(draw.choices("0123456789abcdef", k=32)) for _ in range(200)]) > 0.9
     assert share(["".join(draw.choices("abcdefghijklmnopqrstuvwxyz1", k=32)) for _ in range(200)]) < 0.05
+
+
+def test_addresses_of_a_long_run_take_linear_time():
+    """A megabyte of address characters that make no address, and the matches of the plain pattern on short ones."""
+    pattern = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    draw = random.Random(4)
+    for _ in range(3000):
+        text = "".join(draw.choices("a@.-%", k=draw.randint(1, 25))).encode()
+        assert list(pii._emails(text, 0, len(text))) == [m.span() for m in pattern.finditer(text)], text
+    for text in ("a" * 500_000 + "@" + "b" * 500_000, "a@" * 500_000, "a.b-" * 250_000 + "@x"):
+        start = time.perf_counter()
+        assert not pii.base_spans(*flat.flat(pa.array([text])))
+        assert time.perf_counter() - start < 1.5
