@@ -1,6 +1,6 @@
 """Connected components of an edge table.
 
-Edges are dealt into partitions of at most about `BLOCK_EDGES`; each task replaces its edges by stars around the smallest id
+Edges are dealt by a hash of both ends into partitions of about `BLOCK_EDGES`, so that those of a hub are spread, too; each task replaces its edges by stars around the smallest id
 that it can reach with them. One partition is then done. Of several, alternating large-star and small-star steps move edges
 towards the smallest id in reach, each an aggregation and a join, with the contraction inside partitions in between, until
 every node hangs on the smallest id of its component. Nothing is collected per node or on the driver, so a component may
@@ -47,7 +47,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contracted(edges: DataFrame, parts: int) -> DataFrame:
-    dealt = edges.repartition(1) if parts == 1 else edges.repartition(parts, "b")
+    dealt = edges.repartition(1) if parts == 1 else edges.repartition(parts, F.xxhash64("a", "b"))
     return dealt.mapInArrow(_contract, "a long, b long")
 
 

@@ -98,16 +98,21 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, doc_id, n): every class under its rarest sketch values; values of one class only are left out."""
-    listed = classes.select("doc_id", "n", "listed", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    """(value, doc_id, n): every class under its rarest sketch values; values of one class only are left out.
+
+    A value and an id are all that moves per sketch value; what is known per class joins the values that are left.
+    """
+    listed = classes.select("doc_id", F.explode("sketch").alias("value"))
     common = listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     of_class = W.partitionBy("doc_id")  # at most k rows
+    known = classes.select("doc_id", "n", "listed", F.size("sketch").alias("kept"))
     ranked = (
         listed.join(common, "value")
         .withColumn("place", F.row_number().over(of_class.orderBy("df", "value")))
-        .withColumn("alone", F.col("kept") - F.count(F.lit(1)).over(of_class))
+        .withColumn("common", F.count(F.lit(1)).over(of_class))
+        .join(known, "doc_id")
     )
-    return ranked.where("alone + place <= listed").select("value", "doc_id", "n")
+    return ranked.where("kept - common + place <= listed").select("value", "doc_id", "n")
 
 
 def _ratio_allows(percent: int, a: str = "a_n", b: str = "b_n") -> F.Column:
@@ -246,13 +251,14 @@ def near_duplicates(
     store = Store(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch_type = "doc_id long, n long, digest_a long, digest_b long, listed long, sketch array<long>"
-    sketches = docs.mapInArrow(partial(_sketches, size=size, k=k, percent=percent), sketch_type)
-    sketches = store.keep(sketches)
+    sketches = store.keep(docs.mapInArrow(partial(_sketches, size=size, k=k, percent=percent), sketch_type))
     digest = ["digest_a", "digest_b", "n"]
+    rows = store.keep(sketches.select("doc_id", *digest))
     classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest)
     # Equal sets have equal sketches.
     same = F.first("listed").alias("listed"), F.first("sketch").alias("sketch")
     classes = store.keep(classes.agg(F.min("doc_id").alias("doc_id"), *same))
+    store.drop(sketches)
     lists = store.keep(inverted_lists(classes))
     pairs = store.keep(estimated(first_pairs(lists, percent), classes, k, percent))
 
@@ -266,11 +272,14 @@ def near_duplicates(
 
     edges = store.keep(verified(pairs, sets, percent))
     more = store.keep(block_links(lists, known_links(edges), sets, percent))
-    heads = classes.select(*digest, F.col("doc_id").alias("b"))
-    copies = sketches.select(*digest, F.col("doc_id").alias("a")).join(heads, digest).where("a <> b").select("a", "b")
-    labels = components(edges.unionByName(more).unionByName(copies), store)
-
-    found = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("node"), "left")
-    found = found.withColumn("component_id", F.coalesce("component", "doc_id"))
+    # Copies go by the head of their class, so that no edges are needed for them; ids of several texts link their classes.
+    headed = rows.join(classes.select(*digest, F.col("doc_id").alias("head")), digest, "left")
+    headed = store.keep(headed.withColumn("head", F.when(F.col("doc_id").isNotNull(), F.col("head"))))
+    several = headed.groupBy("doc_id").agg(F.min("head").alias("b"), F.max("head").alias("last")).where("b <> last")
+    repeated = headed.join(several, "doc_id").select(F.col("head").alias("a"), "b").where("a <> b").distinct()
+    labels = components(edges.unionByName(more).unionByName(repeated), store)
+
+    found = headed.join(labels, F.col("head") == F.col("node"), "left")
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head", "doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

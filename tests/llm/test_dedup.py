@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lendframe.llm import components, minhash, suffixes
 from lendframe.llm.tables import Store
@@ -147,3 +148,23 @@ def test_passages_of_odd_rows(odd_docs, no_docs):
     found = spans_of(suffixes.repeated_passages(odd_docs))
     assert set(found) == {6, 7} and all(v == set(range(120)) for v in found.values())
     assert suffixes.repeated_passages(no_docs).count() == 0
+
+
+def test_edges_of_a_hub_are_dealt_over_all_tasks(spark, monkeypatch):
+    """A star around the smallest id, its edges in many parts: none holds more than twice the mean."""
+    monkeypatch.setattr(components, "BLOCK_EDGES", 500)
+    seen = []
+    dealt = components._contracted
+
+    def counted(edges, parts):
+        held = edges.repartition(parts, F.xxhash64("a", "b")) if parts > 1 else edges.repartition(1)
+        seen.append([r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect()])
+        return dealt(edges, parts)
+
+    monkeypatch.setattr(components, "_contracted", counted)
+    edges = [(i, 0) for i in range(1, 8001)] + [(i, i + 1) for i in range(9000, 9400)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    labels = dict(map(tuple, components.components(df, Store(spark)).collect()))
+    assert labels == {i: 0 for i in range(8001)} | {i: 9000 for i in range(9000, 9401)}
+    parts = seen[0]
+    assert len(parts) == 17 and max(parts) <= 2 * sum(parts) / len(parts)

@@ -2,13 +2,14 @@ import re
 
 import corpus_pipeline as pipeline
 from lendframe.llm import queries
+from tests.llm.conftest import make_docs
 from tests.llm.test_dedup import brute_groups
 from tests.llm.test_filters import brute_pii
 
 
 def test_names():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_dedup", "personal_data", "mixing", "encoding"]
 
 
@@ -49,3 +50,14 @@ def test_stages_of_odd_rows(spark, odd_docs, no_docs, sf_dir):
             assert found.columns == odd_docs.columns
     deduped = pipeline.near_dedup(spark, odd_docs, sf_dir)
     assert sorted(r.doc_id or -1 for r in deduped.collect()) == [-1, -1, 1, 2, 3, 4, 5, 6, 8, 9]
+
+
+def test_near_dedup_keeps_texts_of_one_doc_id_apart(spark, prose):
+    """Two texts under one id are two documents, whatever order the rows come in; copies of them go."""
+    some, other = prose(80), prose(90)
+    rows = [(6, some), (6, other), (7, some), (6, some), (8, other + " end"), (None, some)]
+    for order in (rows, rows[::-1]):
+        for parts in (1, 3):
+            docs = make_docs(spark, order).repartition(parts)
+            found = sorted((r.doc_id or -1, r.text) for r in pipeline.near_dedup(spark, docs, "").collect())
+            assert found == sorted([(-1, some), (6, some), (6, other)])
