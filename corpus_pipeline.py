@@ -24,13 +24,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id; rows without doc_id stay.
+    """One row of each group of near-duplicates, the one with the smallest doc_id; rows without doc_id stay.
 
-    Of rows that repeat a doc_id one stays.
+    Rows are compared by their texts: of rows that repeat a doc_id, those with other texts stay, too. Rows are told apart by
+    their place in `docs`, which is a table that was read.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    named = numbered.where("doc_id IS NOT NULL")
+    found = near_duplicates(named.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    found = found.join(named.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    stay = named.join(kept, row, "left_semi").select(*docs.columns)
+    return stay.unionByName(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
