@@ -168,3 +168,41 @@ def test_edges_of_a_hub_are_dealt_over_all_tasks(spark, monkeypatch):
     assert labels == {i: 0 for i in range(8001)} | {i: 9000 for i in range(9000, 9401)}
     parts = seen[0]
     assert len(parts) == 17 and max(parts) <= 2 * sum(parts) / len(parts)
+
+
+def test_passages_among_texts_that_share_more_on_one_side(spark, prose):
+    """Two texts share 56 words; twenty others share 41 of them with one of the two, more on one side and less on the
+    other, so that the two are neighbours in neither order."""
+    for seed in range(4):
+        rows, number = [], 0
+        for _ in range(10):
+            left, core, right = (prose(n).split() for n in (20, 16, 20))
+            more_left, more_right = prose(10).split(), prose(10).split()
+
+            def text(before, after):
+                return " ".join([*prose(5).split(), *before, *core, *after, *prose(5).split()])
+
+            rows += [(number, text(left, right)), (number + 1, text(more_left[:1] + left, right + more_right[:1]))]
+            for k in range(10):
+                rows.append((number + 2 + k, text([], right + more_right[:5])))
+                rows.append((number + 12 + k, text(more_left[:5] + left, [])))
+            number += 100
+        order = np.random.default_rng(seed).permutation(len(rows))
+        docs = make_docs(spark, [rows[i] for i in order])
+        assert spans_of(suffixes.repeated_passages(docs)) == covered(rows)
+
+
+def test_partner_has_the_passage(spark, prose):
+    """A row names a document that has its n_shared words in one piece, even where passages with several overlap."""
+    words = prose(100).split()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:60])), (3, " ".join(words[25:]))]
+    found = {r.doc_id: r for r in suffixes.repeated_passages(make_docs(spark, rows)).collect()}
+    assert (found[1].n_words, found[1].n_shared, found[1].other_doc_id) == (100, 75, 3)
+    assert (found[2].n_shared, found[2].other_doc_id) == (60, 1) and (found[3].n_shared, found[3].other_doc_id) == (75, 1)
+
+
+def test_keys_of_very_many_texts_are_spread(spark, prose, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 3)
+    base = prose(70)
+    rows = [(i, f"{prose(4)} {base} {prose(4)}") for i in range(12)] + [(50, prose(80)), (51, base)]
+    assert spans_of(suffixes.repeated_passages(make_docs(spark, rows))) == covered(rows)
