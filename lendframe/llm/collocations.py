@@ -1,8 +1,9 @@
 """Phrases whose words stand together more often than their parts explain, by counting quotient filters.
 
-1. Every shard, a run of whole texts of about `SHARD_BYTES`, becomes a row: its distinct words with their counts, and its
-   words in order as numbers of that list. Word counts over all shards number the words that are frequent in their language;
-   the numbers go back to each shard for its own words only, so no task holds the vocabulary of the corpus.
+1. Every shard, a run of whole texts of about `SHARD_BYTES`, becomes its distinct words with their counts, in ranges of
+   their hashes, and its words in order as numbers of that list. The words of a range are counted over all shards, those that
+   are frequent in their language are numbered, and each shard gets the numbers of its own words back, in its own order. So
+   no task holds the vocabulary of the corpus.
 2. Level by level, for n = 2 to `LONGEST`, a shard counts the n-grams both of whose (n-1)-grams are frequent; others can't
    be. Packed, permuted and sorted, its n-grams are one counting quotient filter for each range of keys (`quotient.py`).
 3. The filters of a range are merged over all shards. What reaches `least` is frequent; its key gives its words back. Each
@@ -15,27 +16,30 @@ spreads them evenly and the number of ranges follows the number of words. Freque
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lendframe.functions.grouped import grouped_window
 from lendframe.llm import flat, quotient
 from lendframe.llm.files import partition
 from lendframe.llm.tables import Store
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SHARD_BYTES, RANGE_KEYS = 8 << 20, 1 << 21
-SALTS, SLOTS = 64, 1 << 20
+SALTS = 64
 HASHED_WORDS = 1 << 18
 
-SHARD = "shard long, vocab array<struct<lang:string,word:string,n:long>>, stream binary"
+SHARD = "shard long, range int, vocab array<struct<lang:string,word:string,n:long>>, stream binary"
+WORDS = "shard long, range int, bits binary, lang string, word string, a long, number long"
 LEVEL = "shard long, range int, data binary, flags binary"
 MERGED = "shard long, range int, bits binary, ids array<long>, a long"
 
@@ -70,22 +74,25 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), "<u4")
 
 
-def _numbered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, langs: np.ndarray) -> tuple:
-    """(first, inverse, counts) of the distinct words of each language. Hashes tell words apart, bytes confirm it."""
-    keys = np.concatenate([flat.hashes(data, starts[a:b], stops[a:b]) for a, b in _parts(len(starts))])
-    keys ^= flat.mix(langs.astype(np.uint64) + np.uint64(1))
-    _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+def _numbered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, langs: np.ndarray, salts: np.ndarray) -> tuple:
+    """(first, inverse, counts, keys) of the distinct words of each language in the order of their keys, hashes of word and
+    language (`salts`). Hashes tell words apart, bytes confirm it."""
+    hashed = np.concatenate([flat.hashes(data, starts[a:b], stops[a:b]) for a, b in _parts(len(starts))]) ^ salts[langs]
+    keys, first, inverse, counts = np.unique(hashed, return_index=True, return_inverse=True, return_counts=True)
     lengths, of = stops - starts, first[inverse]
     if (langs == langs[of]).all() and (lengths == lengths[of]).all() and _same_bytes(data, starts, starts[of], lengths):
-        return first, inverse, counts
+        return first, inverse, counts, keys
     words = [(int(g), data[a:b].tobytes()) for g, a, b in zip(langs, starts, stops, strict=True)]  # two words of one hash
     seen: dict = {}
     inverse = np.array([seen.setdefault(w, len(seen)) for w in words])
     _, first, counts = np.unique(inverse, return_index=True, return_counts=True)
-    return first, inverse, counts
+    order = np.argsort(hashed[first], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[inverse], counts[order], hashed[first[order]]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[pa.RecordBatch]:
     number = partition() << 32
     kind = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
     for rows, data, offsets in flat.slices(batches, limit=SHARD_BYTES):
@@ -94,28 +101,78 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(starts):
             continue
         encoded = rows.column("lang").dictionary_encode()
+        salts = flat.mix(np.array([zlib.crc32(name.encode()) + 1 for name in encoded.dictionary.to_pylist()], np.uint64))
         owner = flat.owner(first_word)
         langs = encoded.indices.to_numpy()[owner]
-        first, inverse, counts = _numbered(low, starts, stops, langs)
+        first, inverse, counts, keys = _numbered(low, starts, stops, langs, salts)
         lengths = (stops - starts)[first]
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         letters = low[_ranges(starts[first], lengths)]
         words = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.tobytes()), pa.py_buffer(letters.tobytes()))
         vocab = pa.StructArray.from_arrays([encoded.dictionary.take(pa.array(langs[first])), words, pa.array(counts)], fields=list(kind))
+        ranges = (keys >> np.uint64(64 - range_bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1]))
         # 0 stands between pieces: where the text changes or a break lies between two words.
         breaks = np.concatenate([[0], np.cumsum(_BREAK[low])])
         apart = (owner[1:] != owner[:-1]) | (breaks[starts[1:]] != breaks[stops[:-1]])
         stream = np.insert(inverse.astype(np.uint32) + np.uint32(1), np.flatnonzero(apart) + 1, 0)
+        lists = pa.array([*cuts, len(keys), len(keys)], pa.int32())
         yield pa.RecordBatch.from_pydict(
             {
-                "shard": pa.array([number], pa.int64()),
-                "vocab": pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), vocab),
-                "stream": pa.array([_packed(stream)], pa.binary()),
+                "shard": pa.array([number] * (len(cuts) + 1), pa.int64()),
+                "range": pa.array([*ranges[cuts].tolist(), None], pa.int32()),
+                "vocab": pa.ListArray.from_arrays(lists, vocab),
+                "stream": pa.array([*([None] * len(cuts)), _packed(stream)], pa.binary()),
             }
         )
         number += 1
 
 
+def _by_range(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[int], list]]:
+    """(range, shards, values of a column) of rows that are sorted by range."""
+    shards, values, number = [], [], None
+    for batch in batches:
+        get = {name: batch.column(batch.schema.get_field_index(name)) for name in ("shard", "range", column)}
+        for shard, own, value in zip(get["shard"].to_pylist(), get["range"].to_pylist(), get[column], strict=True):
+            if own != number and shards:
+                yield number, shards, values
+                shards, values = [], []
+            number = own
+            shards.append(shard)
+            values.append(value)
+    if shards:
+        yield number, shards, values
+
+
+def _merge_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Words sorted by range: each shard's answers, the numbers in their range of its words or 0; the frequent words with
+    their numbers; and how many words there are of each language, as rows without a word."""
+    kinds = pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()
+    schema = pa.schema([(c.split()[0], kind) for c, kind in zip(WORDS.split(", "), kinds, strict=True)])
+
+    def rows(count: int, **columns: object) -> pa.RecordBatch:
+        made = {c: pa.array(columns[c], schema.field(c).type) if c in columns else pa.nulls(count, schema.field(c).type) for c in schema.names}
+        return pa.RecordBatch.from_pydict(made, schema=schema)
+
+    for number, shards, lists in _by_range(batches, "vocab"):
+        found = pa.concat_arrays([x.values for x in lists])
+        # Words have no line ends.
+        joined = pc.binary_join_element_wise(found.field("lang"), found.field("word"), "\n").dictionary_encode()
+        of, n = joined.indices.to_numpy(), found.field("n").to_numpy()
+        total = np.zeros(len(joined.dictionary), np.int64)
+        np.add.at(total, of, n)
+        frequent = total >= least
+        numbers = np.where(frequent, np.cumsum(frequent), 0)
+        ends = np.cumsum([len(x.values) for x in lists])
+        bits = [_packed(part) for part in np.split(numbers[of], ends[:-1])]
+        yield rows(len(shards), shard=shards, range=[number] * len(shards), bits=bits)
+        named = [text.split("\n", 1) for text in joined.dictionary.filter(pa.array(frequent)).to_pylist()]
+        lang, word = ([x[k] for x in named] for k in (0, 1))
+        yield rows(len(named), range=[number] * len(named), lang=lang, word=word, a=total[frequent], number=numbers[frequent])
+        sums = pa.table({"lang": found.field("lang"), "n": found.field("n")}).group_by("lang").aggregate([("n", "sum")])
+        yield rows(sums.num_rows, range=[number] * sums.num_rows, lang=sums["lang"].to_pylist(), a=sums["n_sum"].to_pylist())
+
+
 class Entries:
     """The distinct n-grams of a shard that begin at the places `at`, as sorted keys, and which of them each place has."""
 
@@ -134,11 +191,11 @@ def _candidates(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flags[:-1] & flags[1:])
 
 
-def _level(batches: Iterator[pa.RecordBatch], n: int, bits: int, range_bits: int) -> Iterator[pa.RecordBatch]:
+def _level(batches: Iterator[pa.RecordBatch], n: int, bits: int, range_bits: int, word_bits: int) -> Iterator[pa.RecordBatch]:
     """Filters of the n-grams of each shard, and the shard itself as the next level needs it.
 
-    For n = 2 a shard comes with its own numbers and their global ones, after that with the flags of the level before the
-    last one and the answers (range, bits) of the last one.
+    A shard comes with the answers (range, bits) of the level before: for n = 2 the numbers of its words, of `word_bits` bits
+    in each range; after that a bit for each n-gram, and with the flags of the level before that.
     """
     layout, before = quotient.Layout(n, bits), quotient.Layout(n - 1, bits)
     schema = pa.schema([("shard", pa.int64()), ("range", pa.int32()), ("data", pa.binary()), ("flags", pa.binary())])
@@ -148,9 +205,11 @@ def _level(batches: Iterator[pa.RecordBatch], n: int, bits: int, range_bits: int
             own = column[i].values
             if n == 2:
                 ids = _unpacked(row["stream"])
-                table = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
-                table[own.field("place").to_numpy() + 1] = own.field("id").to_numpy()
-                ids = table[ids]
+                numbers = [np.zeros(1, np.uint32)]
+                for answer in sorted(own.to_pylist(), key=itemgetter("range")):
+                    part = _unpacked(answer["bits"])
+                    numbers.append(np.where(part > 0, part | np.uint32(answer["range"] << word_bits), np.uint32(0)))
+                ids = np.concatenate(numbers)[ids]
                 flags = ids > 0
             else:
                 ids = _unpacked(row["data"])
@@ -230,17 +289,8 @@ def _merge(batches: Iterator[pa.RecordBatch], n: int, bits: int, range_bits: int
             schema=schema,
         )
 
-    held, number = [], None
-    for batch in batches:
-        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "range", "data"))
-        for shard, own, data in zip(*columns, strict=True):
-            if own != number and held:
-                yield from done(number, held)
-                held = []
-            number = own
-            held.append((shard, data))
-    if held:
-        yield from done(number, held)
+    for number, shards, blobs in _by_range(batches, "data"):
+        yield from done(number, [(shard, blob.as_py()) for shard, blob in zip(shards, blobs, strict=True)])
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -249,31 +299,32 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, store: Store) ->
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     )
-    buckets = max(1, texts.rdd.getNumPartitions())
-    shards = store.keep_dealt(texts.mapInArrow(_shards, SHARD), "shard", buckets)
-    local = shards.select("shard", F.posexplode("vocab").alias("place", "v")).select("shard", "place", "v.*")
-    totals = store.keep(local.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = store.keep(local.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    words = store.keep(grouped_window(words, [], ["lang", "word"], row_number="id"))
-    summary = words.agg(F.count(F.lit(1)), F.max("id")).first()
-    bits = max(1, int(summary[1] or 0).bit_length())
+    parts = max(1, texts.rdd.getNumPartitions())
+    buckets = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    word_ranges = (4 * parts).bit_length()
+    shards = store.keep_dealt(texts.mapInArrow(partial(_shards, range_bits=word_ranges), SHARD), "shard", buckets)
+    local = shards.where("range IS NOT NULL").select("shard", "range", "vocab")
+    local = local.repartition("range").sortWithinPartitions("range", "shard")
+    counted = store.keep(local.mapInArrow(partial(_merge_words, least=least), WORDS))
+    totals = counted.where("shard IS NULL AND word IS NULL").groupBy("lang").agg(F.sum("a").alias("n"))
+    totals = store.keep(totals)
+    found = counted.where("word IS NOT NULL")
+    word_bits = int(found.agg(F.max("number")).first()[0] or 0).bit_length()
+    bits = word_bits + word_ranges
     if bits > 32:
         raise ValueError("more than 2**32 frequent words")
+    words = found.select("lang", "word", (F.col("range").cast("long") * (1 << word_bits) + F.col("number")).alias("id"), "a")
     tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     range_bits = max(0, (int(tokens) - 1) // RANGE_KEYS).bit_length()
 
-    # Words are told apart by at most SLOTS slots, which are broadcast: most rows of `local` are words that are not frequent.
-    slot = F.pmod(F.xxhash64("lang", "word"), F.lit(SLOTS)).cast("int").alias("slot")
-    slots = F.broadcast(words.select(slot).distinct())
-    likely = local.select("shard", "place", "lang", "word", slot).join(slots, "slot", "left_semi")
-    named = likely.join(words.select("lang", "word", "id"), ["lang", "word"])
-    answers = named.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("answers"))
-    states = shards.select("shard", "stream")
+    answers = counted.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))
+    states = shards.where("range IS NULL").select("shard", "stream")
     phrases = words.select(F.array("id").alias("ids"), "a")
     for n in range(2, longest + 1):
         sizes = {"n": n, "bits": bits, "range_bits": range_bits}
         # Shards stay in their buckets; only the answers, and then the filters, move.
-        level = states.join(answers.hint("merge"), "shard").mapInArrow(partial(_level, **sizes), LEVEL)
+        level = states.join(answers.hint("merge"), "shard")
+        level = level.mapInArrow(partial(_level, **sizes, word_bits=word_bits), LEVEL)
         level = store.keep_dealt(level, "shard", buckets)
         filters = level.where("range IS NOT NULL").select("shard", "range", "data")
         ordered = filters.repartition("range").sortWithinPartitions("range", "shard")

@@ -103,7 +103,7 @@ def test_two_words_of_one_hash_stay_apart(monkeypatch):
     monkeypatch.setattr(flat, "hashes", lambda data, starts, stops: np.zeros(len(starts), np.uint64))
     data = np.frombuffer(b"a bb a cc bb a", np.uint8)
     starts, stops = np.array([0, 2, 5, 7, 10, 13]), np.array([1, 4, 6, 9, 12, 14])
-    first, inverse, counts = collocations._numbered(data, starts, stops, np.zeros(6, np.int64))
+    first, inverse, counts, _ = collocations._numbered(data, starts, stops, np.zeros(6, np.int64), np.zeros(1, np.uint64))
     words = [data[starts[i] : stops[i]].tobytes() for i in first]
     assert [words[i] for i in inverse] == [b"a", b"bb", b"a", b"cc", b"bb", b"a"] and counts[inverse[0]] == 3
 
