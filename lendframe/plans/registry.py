@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.operators import catalogue, circulation, fines, loans, overview, people, quality, queueing, upkeep
-from lendframe.operators import term_search, waitlist
+from lendframe.operators import links, term_search, waitlist
 from lendframe.operators.jobs import JobResult
 from lendframe.schema import SCHEMAS, TableSet
 from lendframe.sources import requests, star_views
@@ -135,6 +135,8 @@ def _reports() -> dict[str, Callable[[TableSet], DataFrame]]:
         "check_domains_faulty": lambda t: quality.check_domains(requests.faulty(t)),
         "check_unique_faulty": lambda t: quality.check_unique(requests.faulty(t)),
         "check_references_faulty": lambda t: quality.check_references(requests.faulty(t)),
+        "linked_reservations": lambda t: links.linked_reservations(t.reservations.where(F.col("reservation_id") % 7 != 0)),
+        "follow_links": lambda t: links.follow_links(requests.book_links(t)),
         "one_members_history": lambda t: loans.member_history(
             t.loans, t.books, t.fines, AS_OF, t.members.where(F.col("membership_type") == "student")
         ),

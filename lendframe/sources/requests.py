@@ -210,6 +210,12 @@ def faulty(lib: TableSet) -> TableSet:
     )
 
 
+def book_links(lib: TableSet) -> DataFrame:
+    """(node, target): four of five books point to another one, or to none that there is; some in a circle."""
+    book, n = F.col("book_id"), lib.books.agg(F.count(F.lit(1))).scalar()
+    return lib.books.where(book % 5 != 0).select(book.alias("node"), ((book * 7 + 3) % n).alias("target"))
+
+
 def search_terms(spark: SparkSession, sf_dir: str, lib: TableSet) -> DataFrame:
     """(term): the first word of every title, four and two last digits of every supplier, three letters of every nation."""
     titles = lib.books.select(F.initcap(F.substring_index("title", " ", 1)).alias("term"))
