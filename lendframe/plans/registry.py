@@ -18,6 +18,7 @@ from lendframe.sources import requests, star_views
 from lendframe.sources.star_views import AS_OF
 from lendframe.sources.table_store import TableStore, difference
 from lendframe.sources.workspace import work_dir, written
+from lendframe.streaming import ledger
 from lendframe.streaming.inventory import inventory_stream
 from lendframe.streaming.runner import open_feed, run_available
 
@@ -343,6 +344,24 @@ def _inventory_stream(spark: SparkSession, sf_dir: str, arrivals: tuple[int, ...
     return emitted.groupBy("book_id").agg(F.max_by("copies_on_loan", "batch").alias("copies_on_loan"))
 
 
+def _ledger_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loans of a store that began without any, after the feed came in three slices and its last batch twice."""
+    lib = star_views.stored_library(spark, sf_dir)
+    store = TableStore(spark, work_dir(spark))
+    store.commit(**{t: df.limit(0) if t in ("loans", "fines", "reservations") else df for t, df in lib.items()})
+    folder = work_dir(spark)
+    feed = requests.circulation_feed(lib)
+    first, second = (F.lit(day).cast("timestamp") for day in FEED_CUTS)
+    ts = F.col("ts")
+    for slice_ in (ts < first, (ts >= first) & (ts < second), ts >= second):
+        feed.where(slice_).write.mode("append").parquet(f"{folder}/feed")
+        arriving = open_feed(spark, f"{folder}/feed").withColumn("loan_id", F.expr("event_id div 3"))
+        ledger.run_ledger(arriving, store, folder)
+    again = feed.where(ts >= second).withColumn("loan_id", F.expr("event_id div 3"))
+    ledger.keep_loans(store, "ledger")(again, 2)
+    return store.tables().loans
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name, report in _reports().items():
@@ -369,6 +388,7 @@ def queries() -> dict[str, Query]:
     found["add_books_dates"] = lambda spark, sf_dir: _jobs()["add_books"](Inputs(spark, sf_dir)).state.books.select(
         "book_id", F.col("added_at").cast("date").alias("added_on")
     )
+    found["ledger_loans"] = _ledger_loans
     found["inventory_stream"] = _inventory_stream
     # The newest slice first, the others years behind it, and one of them a second time.
     found["inventory_stream_late"] = lambda spark, sf_dir: _inventory_stream(spark, sf_dir, (2, 0, 1, 0))

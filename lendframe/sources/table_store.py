@@ -91,14 +91,23 @@ class TableStore:
         self._append(entry, current=current)
         return self._open(current)
 
-    def apply(self, **changed: Changes) -> TableSet:
+    def apply(self, batch: tuple[str, int] | None = None, **changed: Changes) -> TableSet:
         """Apply a change set per table. Only files that hold one of its keys are written anew; added rows get files of
-        their own, so that key ranges stay narrow."""
+        their own, so that key ranges stay narrow.
+
+        `batch` names a batch of a stream run. The batches of a run come in order, and the log remembers the last one with
+        the state it led to: one that is delivered again changes nothing, also after an undo of what it did.
+        """
         entry = self._last()
         current = dict(entry["current"])
+        batches = dict(entry.get("batches", {}))
+        if batch and batches.get(batch[0], -1) >= batch[1]:
+            return self._open(current)
         for table, changes in changed.items():
             current[table] = self._changed(table, current[table], changes)
-        self._append(entry, current=current)
+        if batch:
+            batches[batch[0]] = batch[1]
+        self._append(entry, current=current, batches=batches)
         return self._open(current)
 
     def version(self) -> dict[str, str]:

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendframe.streaming.circulation import circulation_stream
+from lendframe.sources.table_store import TableStore
 from lendframe.streaming.inventory import inventory_stream
+from lendframe.streaming.ledger import keep_loans
 from lendframe.streaming.runner import FEED, open_feed, run_available
 from tests import serial
 from tests.builders import DAY, dicts, library
@@ -94,3 +96,49 @@ def test_circulation_stream_equals_serial_desk(spark, events, tmp_path, cuts, st
     assert all(r.accepted == (r.reason is None) for r in rows) and len(rows) == len(events)
     assert len({r.reason for r in rows}) == 7
     assert any(r.fine for r in rows)
+
+
+@pytest.fixture
+def ledger_store(spark, tmp_path):
+    small = library(spark, books=[{}, {}, {}], members=[{"membership_type": t} for t in ("standard", "student", "premium")])
+    store = TableStore(spark, str(tmp_path / "store"), rows_per_file=5)
+    store.commit(**dict(small.items()))
+    return store
+
+
+def ledger_events(spark, rows):
+    made = [(loan, START + timedelta(days=day), 1 + loan % 3, member, action) for loan, day, member, action in rows]
+    return spark.createDataFrame(made, "loan_id long, ts timestamp, book_id long, member_id long, action string")
+
+
+def test_ledger_counts_every_event_once(spark, ledger_store):
+    """Batches are repeated after they were committed, and one arrives in full after a writer was lost on the way."""
+    batches = [
+        [(1, 0, 1, "issue"), (2, 0, 2, "issue"), (3, 1, 3, "issue"), (1, 4, 1, "renew"), (9, 4, 1, "return")],
+        [(2, 9, 2, "return"), (3, 9, 3, "renew"), (3, 10, 3, "renew"), (4, 10, 7, "issue"), (5, 11, 1, "issue")],
+        [(5, 12, 1, "return"), (5, 14, 1, "return"), (1, 20, 1, "renew")],
+    ]
+    sink = keep_loans(ledger_store, "run")
+    for number, rows in enumerate(batches):
+        for _ in range(2):
+            sink(ledger_events(spark, rows), number)
+    sink(ledger_events(spark, batches[0]), 0)
+    day = START.date()
+    rows = {r.loan_id: ((r.due_date - day).days, r.return_date and (r.return_date - day).days, r.renewed_count)
+            for r in ledger_store.tables().loans.collect()}
+    assert rows == {1: (42, None, 2), 2: (21, 9, 0), 3: (91, None, 2), 5: (25, 12, 0)}
+    keep_loans(ledger_store, "other")(ledger_events(spark, [(6, 1, 1, "issue")]), 0)
+    assert ledger_store.tables().loans.count() == 5
+
+
+def test_a_batch_that_failed_before_its_commit_is_applied_once(spark, ledger_store, monkeypatch):
+    rows = ledger_events(spark, [(1, 0, 1, "issue"), (1, 3, 1, "renew")])
+    append = TableStore._append
+    monkeypatch.setattr(TableStore, "_append", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        keep_loans(ledger_store, "run")(rows, 0)
+    monkeypatch.setattr(TableStore, "_append", append)
+    assert ledger_store.tables().loans.count() == 0
+    for _ in range(3):
+        keep_loans(ledger_store, "run")(rows, 0)
+    assert [r.renewed_count for r in ledger_store.tables().loans.collect()] == [1]
