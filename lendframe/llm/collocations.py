@@ -34,7 +34,7 @@ from lendframe.llm.files import partition
 from lendframe.llm.tables import Store
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_BYTES, RANGE_KEYS = 8 << 20, 1 << 21
+SHARD_BYTES, RANGE_KEYS = 4 << 20, 1 << 21
 SALTS = 64
 HASHED_WORDS = 1 << 18
 
@@ -113,7 +113,7 @@ def _shards(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[pa.R
         ranges = (keys >> np.uint64(64 - range_bits)).astype(np.int64)
         cuts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1]))
         # 0 stands between pieces: where the text changes or a break lies between two words.
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[low])])
+        breaks = np.concatenate([[0], np.cumsum(_BREAK[low], dtype=np.int32)])
         apart = (owner[1:] != owner[:-1]) | (breaks[starts[1:]] != breaks[stops[:-1]])
         stream = np.insert(inverse.astype(np.uint32) + np.uint32(1), np.flatnonzero(apart) + 1, 0)
         lists = pa.array([*cuts, len(keys), len(keys)], pa.int32())
@@ -302,7 +302,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, store: Store) ->
     parts = max(1, texts.rdd.getNumPartitions())
     buckets = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     word_ranges = (4 * parts).bit_length()
-    shards = store.keep_dealt(texts.mapInArrow(partial(_shards, range_bits=word_ranges), SHARD), "shard", buckets)
+    shards = store.keep(texts.mapInArrow(partial(_shards, range_bits=word_ranges), SHARD))
     local = shards.where("range IS NOT NULL").select("shard", "range", "vocab")
     local = local.repartition("range").sortWithinPartitions("range", "shard")
     counted = store.keep(local.mapInArrow(partial(_merge_words, least=least), WORDS))
@@ -322,7 +322,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, store: Store) ->
     phrases = words.select(F.array("id").alias("ids"), "a")
     for n in range(2, longest + 1):
         sizes = {"n": n, "bits": bits, "range_bits": range_bits}
-        # Shards stay in their buckets; only the answers, and then the filters, move.
+        # From level 3 on shards stay in their buckets; only the answers, and then the filters, move.
         level = states.join(answers.hint("merge"), "shard")
         level = level.mapInArrow(partial(_level, **sizes, word_bits=word_bits), LEVEL)
         level = store.keep_dealt(level, "shard", buckets)
