@@ -321,6 +321,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, gram: int = GRA
     places = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "key")).alias("places"))
     suffixes = docs.join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     suffixes = store.keep(suffixes.mapInArrow(partial(_suffixes, **sizes), SUFFIX))
+    for done in (anchors, shared):
+        store.drop(done)
     found = [_sorted_matches(suffixes, store, ["key", *order], sizes) for order in (_AFTER, _AFTER[::-1])]
     spans = [df.where("start IS NOT NULL").select("doc_id", "start", "stop", "other_doc_id") for df in found]
     spans.append(_settled(suffixes, found, store, sizes))
