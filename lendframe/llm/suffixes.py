@@ -207,7 +207,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], gram: int, least: int, first:
 
 def merged_spans(spans: DataFrame) -> DataFrame:
     """Overlapping spans (doc_id, start, stop, other_doc_id) of a document as one, with the other document of the longest
-    of them, the smallest of equals, and how many words that one has in common (n_shared)."""
+    of them, the smallest of equals, and how many words that span has (n_shared)."""
     order = W.partitionBy("doc_id").orderBy("start", "stop")  # at most some rows per word of one document
     reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     opens = F.when(F.coalesce(F.col("start") > reach, F.lit(True)), 1).otherwise(0)
@@ -294,8 +294,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, gram: int = GRA
     documents.
 
     Words are runs of anything but white space, counted from 0 in each text, end exclusive. Every document of a passage has
-    a row for it; passages that overlap are one. The longest piece of it that was found in another document has n_shared
-    words and stands in other_doc_id. Documents without such passages have no row.
+    a row for it; passages that overlap are one. A piece of it of n_shared words stands in other_doc_id: the longest one that
+    was matched around one suffix, which sees some words on each side. Documents without such passages have no row.
     Repeats inside one document don't count. Null and empty texts and texts of fewer words have no passage. Rows without
     doc_id take no part; rows of equal doc_id are one document, which shares nothing with itself. An empty table gives an
     empty result. Columns other than doc_id and text are not read.
