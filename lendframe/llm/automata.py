@@ -11,48 +11,45 @@ FLOOR = np.log(1e-4)
 class Automaton:
     """States with counts of strings that pass, end, and go on by each symbol.
 
-    The prefix tree of the examples is merged state by state, in order of depth: a state joins an earlier one if the shares
-    of strings that end there, and that go on by each symbol, differ by no more than Hoeffding's bound allows, and so on
-    for the states that follow. Otherwise it stays a state of its own.
+    Strings branch by the group of a symbol (`groups[symbol]`), so that strings of one format share their states however
+    random they are; each state counts the symbols themselves. The prefix tree of the examples is merged state by state, in
+    order of depth: a state joins an earlier one if the shares of strings that end there, and that go on by each symbol,
+    differ by no more than Hoeffding's bound allows, and so on for the states that follow. Otherwise it stays a state of its
+    own. What no example allows costs FLOOR and leads nowhere, with `restart` back to the first state.
     """
 
-    def __init__(self, examples: list[bytes], symbols: int, alpha: float = ALPHA):
-        self.symbols, self.bound = symbols, np.sqrt(0.5 * np.log(2 / alpha))
-        self.passing, self.ending, self.next = [0], [0], [{}]
+    def __init__(self, examples: list[bytes], groups: list[int], alpha: float = ALPHA, restart: bool = False):
+        self.groups, self.bound = groups, np.sqrt(0.5 * np.log(2 / alpha))
+        self.passing, self.ending, self.next, self.seen = [0], [0], [{}], [[0] * len(groups)]
         for example in examples:
             state = 0
             self.passing[0] += 1
             for symbol in example:
-                if symbol not in self.next[state]:
-                    self.next[state][symbol] = len(self.next)
+                self.seen[state][symbol] += 1
+                group = groups[symbol]
+                if group not in self.next[state]:
+                    self.next[state][group] = len(self.next)
                     self.passing.append(0)
                     self.ending.append(0)
                     self.next.append({})
-                state = self.next[state][symbol]
+                    self.seen.append([0] * len(groups))
+                state = self.next[state][group]
                 self.passing[state] += 1
             self.ending[state] += 1
         self._merge()
-        self._tables()
-
-    def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > self.bound * (n**-0.5 + m**-0.5)
-
-    def _share(self, state: int, symbol: int) -> int:
-        target = self.next[state].get(symbol)
-        return 0 if target is None else self.out[state].get(symbol, 0)
+        self._tables(restart)
 
     def _compatible(self, a: int, b: int) -> bool:
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
             n, m = self.passing[a], self.passing[b]
-            if self._differ(self.ending[a], n, self.ending[b], m):
+            most = self.bound * (n**-0.5 + m**-0.5)
+            if abs(self.ending[a] / n - self.ending[b] / m) > most:
                 return False
-            for symbol in self.next[a].keys() | self.next[b].keys():
-                if self._differ(self._share(a, symbol), n, self._share(b, symbol), m):
-                    return False
-                if symbol in self.next[a] and symbol in self.next[b]:
-                    stack.append((self.next[a][symbol], self.next[b][symbol]))
+            if any(abs(x / n - y / m) > most for x, y in zip(self.seen[a], self.seen[b], strict=True)):
+                return False
+            stack += [(self.next[a][g], self.next[b][g]) for g in self.next[a].keys() & self.next[b].keys()]
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -62,46 +59,45 @@ class Automaton:
             a, b = stack.pop()
             self.passing[a] += self.passing[b]
             self.ending[a] += self.ending[b]
-            for symbol, target in self.next[b].items():
-                self.out[a][symbol] = self.out[a].get(symbol, 0) + self.out[b][symbol]
-                if symbol in self.next[a]:
-                    stack.append((self.next[a][symbol], target))
+            self.seen[a] = [x + y for x, y in zip(self.seen[a], self.seen[b], strict=True)]
+            for group, target in self.next[b].items():
+                if group in self.next[a]:
+                    stack.append((self.next[a][group], target))
                 else:
-                    self.next[a][symbol] = target
+                    self.next[a][group] = target
 
     def _merge(self) -> None:
-        # In the tree as many strings take an edge as pass the state it leads to.
-        self.out = [{s: self.passing[t] for s, t in edges.items()} for edges in self.next]
-        fixed = [0]
-        k = 0
+        fixed, known, k = [0], {0}, 0
         while k < len(fixed):
-            for symbol in sorted(self.next[fixed[k]]):
-                target = self.next[fixed[k]][symbol]
-                if target in fixed:
-                    continue
-                for state in fixed:
-                    if self._compatible(state, target):
-                        self.next[fixed[k]][symbol] = state
-                        self._fold(state, target)
-                        break
-                else:
-                    fixed.append(target)
-            k = k + 1 if all(t in fixed for t in self.next[fixed[k]].values()) else k
+            edges = self.next[fixed[k]]
+            group = min((g for g, target in edges.items() if target not in known), default=None)
+            if group is None:
+                k += 1
+                continue
+            target = edges[group]
+            state = next((f for f in fixed if self._compatible(f, target)), None)
+            if state is None:
+                fixed.append(target)
+                known.add(target)
+            else:
+                edges[group] = state
+                self._fold(state, target)
+                k = 0  # earlier states may have got new edges
         self.fixed = fixed
 
-    def _tables(self) -> None:
+    def _tables(self, restart: bool) -> None:
         number = {state: i for i, state in enumerate(self.fixed)}
-        n = len(number)
+        n, symbols = len(number), len(self.groups)
         # The last state is where strings go that no example allows.
-        self.go = np.full((n + 1, self.symbols), n, np.int64)
-        self.cost = np.full((n + 1, self.symbols), FLOOR)
+        self.go = np.full((n + 1, symbols), 0 if restart else n, np.int64)
+        self.cost = np.full((n + 1, symbols), FLOOR)
         self.stop = np.full(n + 1, FLOOR)
         for state, i in number.items():
             total = max(1, self.passing[state])
-            for symbol, target in self.next[state].items():
-                if target in number and self.out[state][symbol]:
-                    self.go[i, symbol] = number[target]
-                    self.cost[i, symbol] = np.log(self.out[state][symbol] / total)
+            for symbol, count in enumerate(self.seen[state]):
+                if count:
+                    self.go[i, symbol] = number[self.next[state][self.groups[symbol]]]
+                    self.cost[i, symbol] = np.log(count / total)
             if self.ending[state]:
                 self.stop[i] = np.log(self.ending[state] / total)
 

@@ -1,14 +1,17 @@
 """Secrets in texts: fixed patterns, and candidates whose format a probabilistic automaton of credentials accepts.
 
-For each kind an automaton is inferred from labelled values, over classes of characters. Where no labelled values are given
-they come from what the patterns find in a bounded sample of the documents. Candidates are all runs of credential characters
-of `CANDIDATE_CHARS` or more with a digit; one counts if its likelihood per character is no lower than that of the least
-likely of the labelled values of a kind, but for `OUTLIERS` of them. Spans it adds never overlap those of the patterns.
+Automata are inferred over classes of characters: one per kind from what the patterns find in a bounded sample of the
+documents, and one per format of a small labelled table of credentials (`CREDENTIALS`). One more is inferred from ordinary
+runs of the sample. Candidates are all runs of credential characters outside the patterns' spans, parts of touched runs too,
+of `CANDIDATE_CHARS` or more, without signs at their ends (but with padding) and cut behind an equals sign. One counts if
+its likelihood per character is no lower than that of the least likely of the labelled values of a format, but for
+`OUTLIERS` of them, and higher than that of ordinary text. Spans it adds never overlap those of the patterns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -24,6 +27,7 @@ from lendframe.llm.tables import sampled_texts
 
 KINDS = "assign", "access", "hex"
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_VALUES = 600, 20_000, 400
+ORDINARY_RUNS = 1000
 CANDIDATE_CHARS, OUTLIERS = 12, 0.02
 
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
@@ -32,12 +36,31 @@ _KEYWORDS = b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"
 _VALUE = re.compile(rb"\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 
-# Classes of credential characters, with the number of characters in each; others are no credential characters.
-_CLASSES = b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"+", b"/", b"_", b".", b"=", b"-"
+# Classes of credential characters; others are no credential characters.
+_CLASSES = b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"+", b"/", b"_", b".", b"=", b"-"
 _CLASS = np.full(256, len(_CLASSES), np.uint8)
 for _k, _characters in enumerate(_CLASSES):
     _CLASS[list(_characters)] = _k
-_SIZE = np.log([len(c) for c in _CLASSES])
+# Letters, digits, + and / are one group in a credential; in ordinary text small letters, capitals and digits are told apart.
+_FORMAT_GROUPS = [0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 4]
+_PLAIN_GROUPS = [0, 0, 1, 1, 2, 3, 4, 5, 6, 7, 8]
+_CAPITALS = bytes([2, 3, 2, 3, 4, 5, 6, 7, 8, 9, 10])
+_NUMBERS = bytes([4, 4, 4, 4, 4, 5, 6, 7, 8, 9, 10])
+_ALNUM = _CLASS < 5
+
+# Kind, first characters, the other characters' alphabet, and their number, of common kinds of credentials.
+CREDENTIALS = [
+    ("assign", "", "A-Za-z0-9", 20),
+    ("assign", "", "A-Za-z0-9", 32),
+    ("assign", "", "A-Za-z0-9+/", 40),
+    ("assign", "ghp_", "A-Za-z0-9", 36),
+    ("access", "ASIA", "A-Z2-7", 16),
+    ("hex", "", "A-F0-9", 32),
+]
+TABLE_ROWS = 400
+
+# Ordinary words, for corpora without any in the sample.
+ORDINARY = ["characteristics", "international", "responsibility", "Understanding", "self-sufficient", "high-performance"]
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
@@ -83,47 +106,82 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     return found + [(2, a, b) for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
 
 
-class Formats:
-    """An automaton and a threshold for each kind that there are labelled values of."""
+def credential(first: str, alphabet: str, count: int, draw: random.Random) -> bytes:
+    """A value of a format; the alphabet is written as the inside of a bracket expression of ranges."""
+    among = [chr(c) for c in range(128) if re.match(f"[{alphabet}]", chr(c))]
+    return (first + "".join(draw.choices(among, k=count))).encode()
+
+
+def labelled_table(rows: int = TABLE_ROWS, seed: int = 1) -> list[tuple[int, list[bytes]]]:
+    """(kind number, values) of each format of CREDENTIALS, the same in every run."""
+    draw = random.Random(seed)
+    return [(KINDS.index(kind), [credential(*form, draw) for _ in range(rows)]) for kind, *form in CREDENTIALS]
+
+
+def _classes(value: bytes) -> bytes:
+    return _CLASS[np.frombuffer(value, np.uint8)].tobytes()
+
+
+def candidates(data: np.ndarray, offsets: np.ndarray, base: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of what may be a credential outside the base spans."""
+    inside = _CLASS[data] < len(_CLASSES)
+    sign = data == ord("=")
+    inside[:-1] &= ~(sign[:-1] & inside[1:] & ~sign[1:])
+    for _, a, b in base:
+        inside[a:b] = False
+    starts, ends, _ = flat.split(data, offsets, inside)
+    long = ends - starts >= CANDIDATE_CHARS
+    starts, ends = starts[long], ends[long]
+    solid = np.flatnonzero(_ALNUM[data])
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    ends = ends[low < high]
+    low, high = low[low < high], high[low < high]
+    starts, stops = solid[low], solid[high - 1] + 1
+    for _ in range(2):  # padding
+        stops = stops + ((stops < ends) & sign[np.minimum(stops, len(data) - 1)])
+    long = stops - starts >= CANDIDATE_CHARS
+    return starts[long], stops[long]
 
-    def __init__(self, values: list[list[bytes]]):
-        self.models = []
-        for kind, own in enumerate(values):
+
+class Formats:
+    """An automaton and a threshold for each group of labelled values, and an automaton of ordinary runs if any are given."""
+
+    def __init__(self, values: list[list[bytes]], more: list[tuple[int, list[bytes]]] = (), ordinary: list[bytes] = ()):
+        self.models, self.ordinary = [], None
+        if ordinary:
+            runs = [_classes(run) for run in ordinary]
+            runs += [run.translate(to.ljust(256)) for run in runs for to in (_CAPITALS, _NUMBERS)]
+            self.ordinary = Automaton(runs, _PLAIN_GROUPS, restart=True)
+        for kind, own in [*enumerate(values), *more]:
             if not own:
                 continue
             text = np.frombuffer(b"".join(own), np.uint8)
             ends = np.cumsum([len(v) for v in own])
-            starts = ends - [len(v) for v in own]
-            model = Automaton([bytes(_CLASS[np.frombuffer(v, np.uint8)].tolist()) for v in own], len(_CLASSES))
-            scores = np.sort(self._score(model, text, starts, ends))
+            model = Automaton([_classes(v) for v in own], _FORMAT_GROUPS)
+            scores = np.sort(self._score(model, text, ends - [len(v) for v in own], ends))
             self.models.append((kind, model, scores[int(OUTLIERS * len(scores))]))
 
     @staticmethod
     def _score(model: Automaton, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        classes = _CLASS[data].astype(np.int64)
-        inside = np.append(_SIZE, 0.0)[classes]
-        total = np.concatenate([[0.0], np.cumsum(inside)])
-        spread = (total[stops] - total[starts]) / np.maximum(stops - starts, 1)
-        return model.likelihood(np.minimum(classes, len(_CLASSES) - 1), starts, stops) - spread
+        return model.likelihood(np.minimum(_CLASS[data], len(_CLASSES) - 1), starts, stops)
 
     def spans(self, data: np.ndarray, offsets: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates that no base span touches and that an automaton accepts; of several the likeliest kind."""
-        starts, stops, _ = flat.split(data, offsets, _CLASS[data] < len(_CLASSES))
-        digits = np.concatenate([[0], np.cumsum(_CLASS[data] == 3, dtype=np.int32)])
-        taken = np.zeros(len(data), bool)
-        for _, a, b in base:
-            taken[a:b] = True
-        covered = np.concatenate([[0], np.cumsum(taken, dtype=np.int32)])
-        fit = (stops - starts >= CANDIDATE_CHARS) & (digits[stops] > digits[starts]) & (covered[stops] == covered[starts])
-        starts, stops = starts[fit], stops[fit]
+        """Candidates that an automaton accepts; of several kinds the likeliest."""
+        starts, stops = candidates(data, offsets, base)
         if not len(starts) or not self.models:
             return []
-        margin = np.stack([self._score(m, data, starts, stops) - least for _, m, least in self.models])
-        best = margin.argmax(axis=0)
-        accepted = np.flatnonzero(margin.max(axis=0) >= 0)
+        scores = np.stack([self._score(model, data, starts, stops) for _, model, _ in self.models])
+        scores[scores < np.array([least for *_, least in self.models])[:, None]] = -np.inf
+        best = scores.argmax(axis=0)
+        plain = self._score(self.ordinary, data, starts, stops) if self.ordinary else -1e300
+        accepted = np.flatnonzero(scores.max(axis=0) > plain)
         return [(self.models[best[k]][0], int(starts[k]), int(stops[k])) for k in accepted.tolist()]
 
 
+def _least_hashed(values: set[bytes], most: int) -> list[bytes]:
+    return sorted(values, key=lambda x: hashlib.md5(x).digest())[:most]
+
+
 def labelled_values(texts: list[str], most: int = TRAIN_VALUES) -> list[list[bytes]]:
     """Values of each kind that the patterns find in the texts, at most `most` of a kind, in order."""
     data, offsets = flat.flat(pa.array(texts, pa.string()))
@@ -132,13 +190,21 @@ def labelled_values(texts: list[str], most: int = TRAIN_VALUES) -> list[list[byt
     for kind, a, b in base_spans(data, offsets):
         if kind:
             values[kind].add(whole[a:b])
-    return [sorted(v, key=lambda x: hashlib.md5(x).digest())[:most] for v in values]
+    return [_least_hashed(v, most) for v in values]
+
+
+def ordinary_runs(texts: list[str], most: int = ORDINARY_RUNS) -> list[bytes]:
+    """What the patterns leave of the texts' candidates, with a few ordinary words."""
+    data, offsets = flat.flat(pa.array([*texts, *ORDINARY], pa.string()))
+    whole, (starts, stops) = data.tobytes(), candidates(data, offsets, base_spans(data, offsets))
+    return _least_hashed({whole[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)}, most)
 
 
 def learned(docs: DataFrame, rows: int = TRAIN_ROWS) -> Formats:
-    """Formats from at most `rows` documents that look like having secrets, none longer than TRAIN_CHARS."""
+    """Formats of the table and of at most `rows` documents that look like having secrets, none longer than TRAIN_CHARS."""
     looks = F.col("text").rlike("(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]|[0-9a-f]{16}")
-    return Formats(labelled_values(sampled_texts(docs, looks, rows, TRAIN_CHARS)))
+    texts = sampled_texts(docs, looks, rows, TRAIN_CHARS)
+    return Formats(labelled_values(texts), labelled_table(), ordinary_runs(texts))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -179,8 +245,7 @@ def secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): counts of the base kinds, their digest, all spans, and how many are added.
 
     A null or empty text has no spans. A null doc_id stays null, equal rows stay equal rows, an empty table gives an empty
-    result. Other columns are not read. Without formats they are learned from a sample of `docs`; without labelled values
-    nothing is added.
+    result. Other columns are not read. Without formats they are learned from a sample of `docs` and the labelled table.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(partial(_find, formats=formats or learned(docs)), RESULT)

@@ -244,3 +244,67 @@ def test_addresses_of_a_long_run_take_linear_time():
         start = time.perf_counter()
         assert not pii.base_spans(*flat.flat(pa.array([text])))
         assert time.perf_counter() - start < 1.5
+
+
+def found_values(formats, texts):
+    data, offsets = flat.flat(pa.array(texts))
+    whole = data.tobytes()
+    return [whole[a:b] for _, a, b in formats.spans(data, offsets, secrets.base_spans(data, offsets))]
+
+
+@pytest.fixture(scope="module")
+def formats(given):
+    texts = [t for _, t in given[0] if t and len(t) < secrets.TRAIN_CHARS]
+    return secrets.Formats(secrets.labelled_values(texts), secrets.labelled_table(), secrets.ordinary_runs(texts))
+
+
+def test_held_out_credentials_without_a_pattern_are_found(formats, prose):
+    """Values drawn with another seed, bare in prose, so that no base pattern covers them."""
+    for (kind, *_), (_, values) in zip(secrets.CREDENTIALS, secrets.labelled_table(200, seed=77), strict=True):
+        found = found_values(formats, [f"{prose(20)} {v.decode()}. {prose(20)}" for v in values])
+        assert len(set(found) & set(values)) >= 0.8 * len(values), kind
+        assert len(set(found) - set(values)) <= 0.03 * len(values), kind
+
+
+def test_ordinary_text_is_no_credential(formats, prose, given):
+    plain = "getElementByIdValue INTERNATIONALIZATION 123456789012345 2024-01-01T00:00:00 /usr/local/lib/python3 www.example.com"
+    plain += " user_name_field mail7.example.com CamelCaseIdentifier2 __init__subclass__ ABCDEF-123456-XYZ ============== --------------"
+    assert found_values(formats, [*plain.split(), prose(5000), "=" * 500_000]) == []
+    texts = [t or "" for _, t in given[0]]
+    runs = sum(len(re.findall(f"[A-Za-z0-9]{{{secrets.CANDIDATE_CHARS},}}", t)) for t in texts)
+    assert len(found_values(formats, texts)) <= 0.001 * runs
+
+
+def test_parts_of_touched_runs_are_candidates():
+    rest = "Xk9fQ2mLp0TzR7vB3nWd"
+    data, offsets = flat.flat(pa.array([f"{'0123456789abcdef' * 2}-{rest}", f"auth={rest}==, {rest}.", "a" * 11, f"({rest}"]))
+    starts, stops = secrets.candidates(data, offsets, secrets.base_spans(data, offsets))
+    whole = data.tobytes()
+    found = [whole[a:b].decode() for a, b in zip(starts, stops, strict=True)]
+    assert found == [rest, rest + "==", rest, rest]
+
+
+def test_automata_keep_counts_and_score_like_a_walk():
+    import numpy as np
+
+    draw = random.Random(3)
+    groups = [0, 0, 1]
+    for _ in range(60):
+        examples = ["".join(draw.choices("aab-", k=draw.randint(0, 9))) for _ in range(draw.choice([1, 5, 200]))]
+        coded = [bytes("ab-".index(c) for c in e) for e in examples]
+        model = Automaton(coded, groups)
+        assert sum(model.ending[s] for s in model.fixed) == len(coded)
+        assert sum(sum(model.seen[s]) for s in model.fixed) == sum(map(len, coded))
+        for s in model.fixed:
+            assert model.passing[s] == model.ending[s] + sum(model.seen[s])
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        ends = np.cumsum([len(c) for c in coded])
+        scores = model.likelihood(data, ends - [len(c) for c in coded], ends)
+        for own, score in zip(coded, scores, strict=True):
+            state, total = 0, 0.0
+            for symbol in own:
+                assert model.seen[model.fixed[state]][symbol]
+                total += np.log(model.seen[model.fixed[state]][symbol] / model.passing[model.fixed[state]])
+                state = model.fixed.index(model.next[model.fixed[state]][groups[symbol]])
+            total += np.log(model.ending[model.fixed[state]] / model.passing[model.fixed[state]])
+            assert np.isclose(score, total / max(1, len(own)))
