@@ -1,7 +1,7 @@
 """A linear-chain conditional random field over word shapes, in numpy.
 
 A token's features are the shape of it and of its neighbours: letters and digits become their class, runs of letters one
-sign, every other character stays. Features are hashed into a fixed number of rows of weights. Sequences lie one after the
+sign, every other character stays. One feature is which of a dozen signs occur in it. Features are hashed into a fixed number of rows of weights. Sequences lie one after the
 other in flat arrays; training and decoding go through all sequences at once, step by step.
 """
 
@@ -12,13 +12,18 @@ import numpy as np
 from lendframe.llm import flat
 
 ROWS = 4096
-TEMPLATES = 4
+TEMPLATES = 5
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("a") : ord("z") + 1] = 2
 _CLASS[0x80:] = 2
 _CLASS[ord("0") : ord("9") + 1] = 3
+_SIGN = np.full(256, 1 << 11, np.uint16)
+_SIGN[[0x20, *range(0x09, 0x0E)]] = 0
+_SIGN[_CLASS == 1], _SIGN[_CLASS == 2], _SIGN[_CLASS == 3] = 1 << 0, 1 << 1, 1 << 2
+for _k, _sign in enumerate(b"@.:-()/+"):
+    _SIGN[_sign] = 1 << (3 + _k)
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, digits: bool) -> np.ndarray:
@@ -58,7 +63,8 @@ def features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, heads: np.
     before[1:], after[:-1] = exact[:-1], exact[1:]
     before[heads] = 0  # row 0 stands for the end of the sequence
     after[heads[1:] - 1] = 0
-    return np.stack([exact, rough + ROWS, before + 2 * ROWS, after + 3 * ROWS])
+    signs = np.bitwise_or.reduceat(_SIGN[data], starts).astype(np.int32) if n else np.zeros(0, np.int32)
+    return np.stack([exact, rough + ROWS, before + 2 * ROWS, after + 3 * ROWS, signs + 4 * ROWS])
 
 
 class Field:

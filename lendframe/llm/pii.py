@@ -1,8 +1,8 @@
 """Personal data in texts: fixed patterns, and spans that a conditional random field over word shapes adds.
 
-The field is trained on a small labelled table of tokens and tags. Where none is given, it is made from a bounded sample of
-the documents, labelled by the patterns; the field then finds data of like shape and surroundings that miss a pattern by
-little, such as a number with a wrong check digit. Spans it adds never overlap those of the patterns.
+The field is trained on a small table of sentences labelled by hand (`pii_table.ROWS`), and on a bounded sample of the
+documents, labelled by the patterns, from which it learns what is ordinary in them. So it finds data that miss a pattern, such
+as a number with a wrong check digit or one without a country code. Spans it adds never overlap those of the patterns.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm import flat
+from lendframe.llm import flat, pii_table
 from lendframe.llm.crf import Field, features, sequences
 from lendframe.llm.tables import sampled_texts
 
 KINDS = "email", "ip", "card", "phone"
 TRAIN_ROWS, TRAIN_CHARS = 400, 20_000
+TABLE_WEIGHT, TABLE_TURNS = 4, 5
 
 RESULT = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -125,19 +126,54 @@ def labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[:, chosen], np.cumsum(lengths[keep]) - lengths[keep], tags[chosen]
 
 
-def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """A field fitted to at most `rows` documents with a digit, none longer than TRAIN_CHARS, chosen by a hash."""
-    sample = sampled_texts(docs, F.col("text").rlike("[0-9]"), rows, TRAIN_CHARS)
+def labelled_table(marked: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature rows, sequence heads, tags) of sentences with marks."""
+    texts, marks = zip(*map(pii_table.unmarked, marked), strict=True)
+    data, offsets = flat.flat(pa.array(texts, pa.string()))
+    starts, stops, heads, rows = tokens(data, offsets)
+    tags = np.zeros(len(starts), np.int64)
+    for origin, own in zip(offsets, marks, strict=False):
+        for kind, a, b in own:
+            tags[np.searchsorted(stops, origin + a, "right") : np.searchsorted(starts, origin + b)] = KINDS.index(kind) + 1
+    return rows, heads, tags
+
+
+def fitted(texts: list[str], marked: list[str] = pii_table.ROWS, weight: int = TABLE_WEIGHT) -> Field:
+    """A field of the marked sentences and of the texts as the patterns label them.
+
+    The sentences come in TABLE_TURNS copies with exchanged values, each counted `weight` times.
+
+    Sentences of the texts with an untagged word that has the shape of a word marked by itself are left out: there the
+    patterns are no judge.
+    """
+    rows, heads, tags = labelled_table(pii_table.exchanged(marked, TABLE_TURNS))
+    alone = (tags > 0) & (np.append(0, tags[:-1]) != tags) & (np.append(tags[1:], 0) != tags)
+    parts = [(rows, heads, tags)] * weight
+    own, begins, found = labelled(texts)
+    if len(begins):
+        lengths = np.diff(np.append(begins, len(found)))
+        keep = ~np.logical_or.reduceat((found == 0) & np.isin(own[0], rows[0][alone]), begins)
+        chosen = np.repeat(keep, lengths)
+        parts.append((own[:, chosen], np.cumsum(lengths[keep]) - lengths[keep], found[chosen]))
+    shifts = np.cumsum([0] + [len(t) for *_, t in parts[:-1]])
     field = Field(len(KINDS) + 1)
-    if sample:
-        field.train(*labelled(sample))
+    field.train(
+        np.concatenate([r for r, *_ in parts], axis=1),
+        np.concatenate([h + shift for (_, h, _), shift in zip(parts, shifts, strict=True)]),
+        np.concatenate([t for *_, t in parts]),
+    )
     return field
 
 
+def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
+    """A field fitted to the table and at most `rows` documents with a digit, none longer than TRAIN_CHARS, chosen by a hash."""
+    return fitted(sampled_texts(docs, F.col("text").rlike("[0-9]"), rows, TRAIN_CHARS))
+
+
 def added_spans(
     data: np.ndarray, offsets: np.ndarray, field: Field, base: list[tuple[int, int, int]]
 ) -> list[tuple[int, int, int]]:
-    """Runs of tokens with one tag that no base span touches, without punctuation at their ends."""
+    """Runs of tokens with one tag that no base span touches, without punctuation at their ends but for a pair of brackets."""
     starts, stops, heads, rows = tokens(data, offsets)
     if not len(starts):
         return []
@@ -156,6 +192,8 @@ def added_spans(
         text = whole[a:b]
         a += len(text) - len(text.lstrip(_TRIM))
         b -= len(text) - len(text.rstrip(_TRIM))
+        if whole.count(b")", a, b) > whole.count(b"(", a, b) and whole[a - 1 : a] == b"(":
+            a -= 1  # a bracket that closes inside
         if a < b and covered[b] == covered[a]:
             found.append((tag - 1, a, b))
     return found
@@ -207,8 +245,7 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): counts of the base kinds, their digest, all spans, and how many are added.
 
     A null or empty text has no spans. A null doc_id stays null, equal rows stay equal rows, an empty table gives an empty
-    result. Other columns are not read. Without a field one is trained on a sample of `docs`; without documents to train on
-    nothing is added.
+    result. Other columns are not read. Without a field one is trained on the labelled table and a sample of `docs`.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(partial(_find, field=field or trained(docs)), RESULT)
