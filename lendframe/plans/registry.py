@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.operators import catalogue, circulation, fines, loans, overview, people, quality, queueing, upkeep
-from lendframe.operators import links, term_search, waitlist
+from lendframe.operators import links, sketches, term_search, waitlist
 from lendframe.operators.jobs import JobResult
 from lendframe.schema import SCHEMAS, TableSet
 from lendframe.sources import requests, star_views
@@ -79,6 +79,7 @@ def _reports() -> dict[str, Callable[[TableSet], DataFrame]]:
         "member_history": lambda t: loans.member_history(t.loans, t.books, t.fines, AS_OF),
         "return_time_by_genre": lambda t: loans.return_time_by_genre(t.loans, t.books),
         "monthly_loan_trend": lambda t: loans.monthly_loan_trend(t.loans, AS_OF),
+        "trailing_borrowers": lambda t: sketches.trailing_borrowers(t.loans),
         "members_overdue_more_than": lambda t: people.members_overdue_more_than(t.loans, t.members, AS_OF),
         "fine_revenue_by_month": lambda t: fines.fine_revenue_by_month(t.fines),
         "availability": lambda t: catalogue.availability(t.books),
