@@ -6,9 +6,10 @@ score is the sum over its n-grams of log(p_trusted / p_raw), divided by the numb
 of both counts first, so that trusted texts have no advantage. Texts that score below nearly all trusted ones, by more than
 a margin that follows the spread of the trusted scores, are rejected.
 
-Raw counts come from every document, trusted counts and the threshold from at most `TRUSTED_ROWS` labelled ones. The bucket
-table lies in the shared folder in parts of `PART` buckets, added up by one task each from what the tasks have counted and
-packed. The driver knows their names only. A worker reads the parts that its texts ask for and holds up to `HELD` of them.
+Raw counts come from every document, trusted counts and the threshold from all that the labels trust. Ids meet documents by
+a shuffle join, which the texts go through once for the counts. The bucket table lies in the shared folder in parts of `PART`
+buckets, added up by one task each from what the tasks have counted and packed. The driver knows their names only. A worker
+reads the parts that its texts ask for and holds up to `HELD` of them.
 """
 
 from __future__ import annotations
@@ -22,24 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendframe.functions.grouped import HotRule, number_rows
 from lendframe.llm import flat
 from lendframe.llm.files import new_file, open_file
 from lendframe.llm.tables import Store
 
 LOAD, FEWEST = 512, 1 << 14  # n-grams to a bucket, and buckets of a small corpus
 PART, HELD = 1 << 16, 512  # buckets of a part (half a MB), and parts that a worker holds
-COUNTED = 1 << 22  # n-grams that a task holds before it packs their counts
-TRUSTED_ROWS = 20_000
+COUNTED, MERGED = 1 << 20, 1 << 21  # n-grams that a task holds before it adds them up, and sums before it packs them
+SLICE = 1 << 20  # bytes of texts that a task works on at a time
+CHUNKED = HotRule(10_000)  # scores that one task may put in order
 OUTLIERS, MARGIN = 0.001, 1.0  # the threshold is this quantile of the trusted scores, less so many interquartile ranges
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-RESULT = (
+SCORED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, score double"
+    "base_failed boolean, score double, own_score double"
 )
+RESULT = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -103,7 +107,7 @@ def bucket_count(n_grams: int) -> int:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = 0
-    for _, data, offsets in flat.slices(batches):
+    for _, data, offsets in flat.slices(batches, limit=SLICE):
         n_words = np.diff(flat.words(data, offsets)[2])
         n += int(np.maximum(2 * n_words - 1, 0).sum())
     yield pa.RecordBatch.from_pydict({"n": [n]})
@@ -120,13 +124,19 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def _part_counts(marked: np.ndarray) -> pa.RecordBatch:
-    """Counts of buckets, given as 2 * bucket + trusted for each n-gram: a row for each part that has some."""
-    marked.sort()
+def _merged(marked: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal keys added up, in the order of the keys."""
+    order = np.argsort(marked, kind="stable")
+    marked, n = marked[order], n[order]
     heads = np.flatnonzero(np.append(True, marked[1:] != marked[:-1]))
-    n, buckets = np.diff(np.append(heads, len(marked))), marked[heads] >> 1
+    return marked[heads], np.add.reduceat(n, heads)
+
+
+def _part_counts(marked: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of buckets, given as how often each 2 * bucket + trusted occurs, in order: a row for each part that has some."""
+    buckets = marked >> 1
     first = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
-    raw, trusted = np.add.reduceat(n, first), np.add.reduceat(n * (marked[heads] & 1), first)
+    raw, trusted = np.add.reduceat(n, first), np.add.reduceat(n * (marked & 1), first)
     buckets = buckets[first]
     cuts = np.flatnonzero(np.append(True, buckets[1:] // PART != buckets[:-1] // PART))
     spans = list(zip(cuts, np.append(cuts[1:], len(buckets)), strict=True))
@@ -145,16 +155,25 @@ COUNTS = "part int, n int, steps binary, raw binary, trusted binary"
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for rows, data, offsets in flat.slices(batches):
+    sums, held, n = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        keys, times = np.unique(np.concatenate(held), return_counts=True)
+        return _merged(np.concatenate([sums[0], keys]), np.concatenate([sums[1], times]))
+
+    for rows, data, offsets in flat.slices(batches, limit=SLICE):
         keys, of = grams(data, offsets, buckets)
         held.append(2 * keys + _chosen(rows, "trusted")[of])
         n += len(keys)
         if n >= COUNTED:
-            yield _part_counts(np.concatenate(held))
-            held, n = [], 0
+            sums, held, n = added(), [], 0
+            if len(sums[0]) >= MERGED:
+                yield _part_counts(*sums)
+                sums = np.empty(0, np.int64), np.empty(0, np.int64)
     if n:
-        yield _part_counts(np.concatenate(held))
+        sums = added()
+    if len(sums[0]):
+        yield _part_counts(*sums)
 
 
 TABLE = "part int, uri string, raw long, trusted long"
@@ -193,11 +212,10 @@ def _table(uri: str) -> np.ndarray:
         return np.frombuffer(stream.read(), "<f4").reshape(2, -1)
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `rows` documents that every label calls good and none calls toxic, chosen by a hash of their id."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All documents that every label calls good and none calls toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    good = good.where("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return good.where("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select("doc_id")
 
 
 @dataclass
@@ -233,20 +251,24 @@ class Model:
                 found[:, at] = _table(self.parts[part])[:, keys[at] % PART]
         return found
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Length-normalised log-likelihood ratio of each text; `chosen` marks texts that the trusted counts contain."""
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length-normalised log-likelihood ratio of each text, and what it is if the trusted counts contain the text."""
         texts, buckets = len(offsets) - 1, self.buckets
         if not self.trusted.any():
-            return np.zeros(texts)
+            return np.zeros(texts), np.zeros(texts)
         keys, of = grams(data, offsets, buckets)
         both, own = np.unique(of * buckets + keys, return_counts=True)
         of, keys = both // buckets, both % buckets
         size = np.bincount(of, own, texts)
         raw, trusted = self.counts(keys)
         raw = (np.maximum(raw - own, 0) + 1) / (np.maximum(self.raw.sum() - size, 0) + buckets)[of]
-        mine = own * chosen[of]
-        trusted = (np.maximum(trusted - mine, 0) + 1) / (self.trusted.sum() - size * chosen + buckets)[of]
-        return np.bincount(of, own * np.log(trusted / raw), texts) / np.maximum(size, 1)
+
+        def score(mine: np.ndarray, less: np.ndarray) -> np.ndarray:
+            good = (np.maximum(trusted - mine, 0) + 1) / (self.trusted.sum() - less + buckets)[of]
+            return np.bincount(of, own * np.log(good / raw), texts) / np.maximum(size, 1)
+
+        none = np.zeros(texts)
+        return score(none[of], none), score(own, np.minimum(size, self.trusted.sum()))
 
 
 def _flagged(docs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, str]:
@@ -255,33 +277,61 @@ def _flagged(docs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, str]:
     while {name, f"{name}id"} & used:
         name += "_"
     ids = chosen.select(F.col("doc_id").alias(f"{name}id"), F.lit(True).alias(name))
-    # The right side is bounded by its limit.
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids[f"{name}id"], "left").drop(f"{name}id"), name
+    # A broadcast would grow with the labels, and needs of disk would jump where it no longer fits.
+    return docs.join(ids.hint("merge"), docs["doc_id"] == ids[f"{name}id"], "left").drop(f"{name}id"), name
 
 
-def fitted(docs: DataFrame, labels: DataFrame, buckets: int | None = None, rows: int = TRUSTED_ROWS) -> Model:
-    """Counts over all of `docs` and over its trusted rows, and the threshold that the trusted rows give."""
+def counted(docs: DataFrame, labels: DataFrame, buckets: int | None = None) -> Model:
+    """Counts over all of `docs` and over its trusted rows, without a threshold."""
     store = Store(docs.sparkSession)
     if buckets is None:
         buckets = bucket_count(docs.select("text").mapInArrow(_sizes, "n long").agg(F.sum("n")).first()[0] or 0)
-    flagged, _ = _flagged(docs.select("doc_id", "text"), trusted_ids(labels, rows))
+    flagged, _ = _flagged(docs.select("doc_id", "text"), trusted_ids(labels))
     counts = flagged.mapInArrow(partial(_count, buckets=buckets), COUNTS)
     counts = counts.repartition("part").sortWithinPartitions("part")
     table = counts.mapInArrow(partial(_add_up, folder=store.folder), TABLE).collect()  # one row per part
     totals = (Counts(sum(r[name] for r in table)) for name in ("raw", "trusted"))
-    model = Model(buckets, {r.part: r.uri for r in table}, *totals)
+    return Model(buckets, {r.part: r.uri for r in table}, *totals)
+
+
+def scored(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
+    """RESULT without `kept`, and `trusted`, of every row of `docs`; written below the shared folder.
+
+    A text is scored both as a trusted one and as another; the ids choose between the two afterwards, without the texts.
+    """
+    both, _ = _flagged(docs.mapInArrow(partial(_judge, model=model), SCORED), trusted_ids(labels))
+    score = F.when(F.col("trusted"), F.col("own_score")).otherwise(F.col("score"))
+    return Store(docs.sparkSession).keep(both.withColumn("score", score).drop("own_score"))
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float] | None:
+    """What `percentile` gives, without all values in one task: the places of the sorted rows that it lies between."""
+    at = [(df.count() - 1) * share for share in shares]
+    if at[0] < 0:
+        return None
+    places = {int(f(x)) + 1 for x in at for f in (np.floor, np.ceil)}
+    there = number_rows(df.select(column), column, "place", CHUNKED).where(F.col("place").isin(sorted(places)))
+    value = {r["place"] - 1: r[column] for r in there.collect()}
+    ends = [(x, int(np.floor(x)), int(np.ceil(x))) for x in at]
+    return [value[a] if value[a] == value[b] else (b - x) * value[a] + (x - a) * value[b] for x, a, b in ends]
+
+
+def threshold(found: DataFrame) -> float:
+    """The least score to keep, from the scores of all trusted texts that the base rule passes."""
+    marks = quantiles(found.where("trusted AND NOT base_failed"), "score", (OUTLIERS, 0.25, 0.75))
+    return -np.inf if marks is None else marks[0] - MARGIN * (marks[2] - marks[1])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, buckets: int | None = None) -> Model:
+    """Counts over all of `docs` and over its trusted rows, and the threshold that the trusted rows give."""
+    model = counted(docs, labels, buckets)
     if model.trusted.any():
-        scored = flagged.where("trusted").mapInArrow(partial(_judge, model=model), RESULT).where("NOT base_failed")
-        least, low, high = scored.agg(*(F.percentile("score", F.lit(q)) for q in (OUTLIERS, 0.25, 0.75))).first()
-        model.threshold = -np.inf if least is None else least - MARGIN * (high - low)
+        model.threshold = threshold(scored(docs.select("doc_id", "text"), labels, model))
     return model
 
 
-def verdicts(data: np.ndarray, offsets: np.ndarray, model: Model, chosen: np.ndarray) -> dict[str, np.ndarray]:
-    out = surface(data, offsets)
-    score = model.scores(data, offsets, chosen)
-    failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-    return out | {"base_failed": failed, "kept": ~failed & (score >= model.threshold), "score": score}
+def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
 
 
 def _chosen(rows: pa.RecordBatch, name: str) -> np.ndarray:
@@ -289,14 +339,17 @@ def _chosen(rows: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _judge(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in flat.slices(batches):
-        found = verdicts(data, offsets, model, _chosen(rows, "trusted"))
+    for rows, data, offsets in flat.slices(batches, limit=SLICE):
+        found = surface(data, offsets)
+        score, own_score = model.scores(data, offsets)
+        found |= {"base_failed": base_failed(found), "score": score, "own_score": own_score}
         yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id")} | found)
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in flat.slices(batches):
-        kept = rows.filter(pa.array(verdicts(data, offsets, model, _chosen(rows, name))["kept"]))
+    for rows, data, offsets in flat.slices(batches, limit=SLICE):
+        score = np.where(_chosen(rows, name), *model.scores(data, offsets)[::-1])
+        kept = rows.filter(pa.array(~base_failed(surface(data, offsets)) & (score >= model.threshold)))
         yield kept.select([c for c in kept.schema.names if c != name])
 
 
@@ -308,8 +361,11 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int | None = None) -> D
     trusted documents every score is 0 and only the base rule decides.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    flagged, _ = _flagged(docs, trusted_ids(labels))
-    return flagged.mapInArrow(partial(_judge, model=fitted(docs, labels, buckets)), RESULT)
+    model = counted(docs, labels, buckets)
+    found = scored(docs, labels, model)
+    least = threshold(found) if model.trusted.any() else -np.inf
+    kept = ~F.col("base_failed") & (F.col("score") >= F.lit(float(least)))
+    return found.withColumn("kept", kept).select(*RESULT)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lendframe.llm import crf, flat, pii, pii_table, quality, secrets
 from lendframe.llm.automata import Automaton
@@ -110,6 +111,25 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs, labels):
     assert kept.columns == odd_docs.columns and kept.count() == sum(1 for r in found if not r.base_failed)
 
 
+def test_all_trusted_documents_are_counted(spark):
+    """More than any sample took: the counts hold the n-grams of every trusted text, its own id among them."""
+    n = 21_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('good words ', id) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 1000 > 0) AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == n - 21
+    model = quality.counted(docs, labels)
+    assert model.raw.sum() == 5 * n and model.trusted.sum() == 5 * (n - 21)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 12_000])
+def test_quantiles_are_those_of_percentile(spark, n):
+    draw = random.Random(n)
+    df = spark.createDataFrame([(draw.choice([draw.gauss(0, 1), 0.5]),) for _ in range(n)], "x double")
+    shares = quality.OUTLIERS, 0.25, 0.75
+    want = df.agg(*(F.percentile("x", F.lit(s)) for s in shares)).first()
+    assert quality.quantiles(df, "x", shares) == (list(want) if n else None)
+
+
 def luhn(digits):
     total = 0
     for k, d in enumerate(map(int, reversed(digits))):
