@@ -238,10 +238,10 @@ def _all_rows(lib: TableSet) -> DataFrame:
 
 
 def _moved(store: TableStore, job: Callable[[TableSet], TableSet]) -> TableSet:
-    """Bring a store to the state after a job by the change sets of its tables; one that the job passes on as it is has none."""
+    """Bring a store to the state after a job by the change sets of its tables."""
     before = store.tables()
     now = dict(before.items())
-    return store.apply(**{t: difference(t, now[t], df) for t, df in job(before).items() if df is not now[t]})
+    return store.apply(**{t: difference(t, now[t], df) for t, df in job(before).items()})
 
 
 def _without_lapsed(lib: TableSet) -> TableSet:
