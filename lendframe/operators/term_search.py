@@ -47,7 +47,11 @@ class TermIndex:
         self.rows, self.key, self.columns = df, key, columns
         names = [f"chars_{i}" for i in range(len(columns))]
         marked = [F.split(F.concat(_plain(c), F.lit(END * GRAM)), "").alias(n) for c, n in zip(columns, names, strict=True)]
-        texts = df.select(F.col(key).alias("key"), *marked)
+        # Grams are many times the size of the texts: a table of few files is dealt out before they are made, to a stated
+        # number of parts, as adaptive execution would merge them by the size of the texts.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.select(*dict.fromkeys([key, *columns])).repartition(parts, key)
+        texts = dealt.select(F.col(key).alias("key"), *marked)
         # The last GRAM - 1 marks begin nothing; the first one does, so that an empty text is in the index, too.
         grams = F.array_distinct(F.flatten(F.array(*[_grams(n, GRAM - 1) for n in names])))
         postings = texts.select("key", F.explode(grams).alias("gram"))
