@@ -83,13 +83,14 @@ def numbered_lines(spark: SparkSession, sf_dir: str, rule: HotRule = DEFAULT_RUL
     """
     keys = ["l_orderkey", "l_linenumber"]
     lines = read(spark, sf_dir, "lineitem")
-    # Rows that tie in all else are equal; the last column only deals them into chunks.
-    order = ["l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "_row"]
-    rows = lines.withColumn("_row", F.monotonically_increasing_id())
+    # Rows that tie in all of these are equal.
+    order = ["l_partkey", "l_quantity", "l_returnflag", "l_linestatus"]
     first = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * COPIES
     if hot_keys(lines, keys[:1], HotRule(min(COPIES, rule.rows))).isEmpty():
         copy = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-        return rows.repartition("l_orderkey").select(*lines.columns, (first + copy).alias("loan_id"))
+        return lines.repartition("l_orderkey").select(*lines.columns, (first + copy).alias("loan_id"))
+    # The last column only deals equal rows into chunks.
+    rows, order = lines.withColumn("_row", F.monotonically_increasing_id()), [*order, "_row"]
     rows = grouped_window(rows, keys, order, row_number="copy", rule=rule).withColumn("copy", F.col("copy") - 1)
     loan_id = (first + F.col("copy")).alias("loan_id")
     if hot_keys(lines, keys, HotRule(COPIES)).isEmpty():
