@@ -1,23 +1,28 @@
-"""Near-duplicate documents from bottom-k sketches of one hash function.
-
-1. Each text becomes the set of its distinct word shingles, as 64-bit hashes; its sketch is the k smallest of them. Texts
-   with equal sets are one class from here on.
-2. Inverted lists of sketch values. Two sets of Jaccard similarity s share about s * k sketch values, and at least
-   `least_shared` of them but for one pair in 10**9. So it is enough to list a class under its rarest values, as many as
-   would leave fewer than that number unlisted: most of these occur in one class only and generate nothing. Values that
-   very many texts have are listed only for texts that have hardly anything else.
-3. Lists of up to `SHORT` classes give all their pairs, longer ones pair every class with one pivot. The union sketch
-   estimates the similarity of each pair, those that may reach the bound are compared on full sets.
-4. Long lists whose classes don't all hang together by then are compared block by block on full sets. Only pairs of
-   different components are looked at, and a block reports a spanning forest of its links, so what comes out is linear.
-
-Everything but a block of about `BLOCK_SHINGLES` and a pair of sets is spread over tasks; no list is collected as a whole.
+"""Near-duplicate documents from keys made of several min-wise hashes.
+
+1. Each text becomes the set of its distinct word shingles, as 64-bit hashes. Texts with equal sets are one class.
+2. Keys. Under a random order of all shingles, two sets have the same first element with a probability of their Jaccard
+   similarity s. A key is a hash of the first elements under k orders, so two sets agree in it with s**k: sets that have
+   little in common hardly ever do, however many there are. There are as many keys as let but one pair in 10**9 of those
+   that reach the bound agree in one at least. A bit of each first element is kept, too: the number of bits that differ
+   estimates the similarity.
+3. Lists of classes by key; most keys are of one class only and generate nothing. Lists of up to `SHORT` classes give all
+   their pairs, longer ones pair every class with one pivot. Pairs whose bits don't rule out that they reach the bound are
+   compared on full sets.
+4. Long lists whose classes don't all hang together by then are compared block by block, first the bits, then the full sets
+   of those that may reach the bound. Only pairs of different components are looked at, and a block reports a spanning
+   forest of its links, so what comes out is linear.
+
+Full sets are written once, to files in the shared folder, and read from there by the tasks that compare them: what moves is
+a few numbers for each key, pair and member of a list, never a set. Everything but a block of about `BLOCK_SHINGLES` and a
+pair of sets is spread over tasks; no list is collected as a whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -26,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lendframe.llm import flat
+from lendframe.llm import files, flat
 from lendframe.llm.components import components
 from lendframe.llm.tables import Store
 
-SKETCH, SHINGLE, PERCENT = 64, 5, 80
-SHORT, BLOCK_SHINGLES = 8, 1 << 21
-SIGMAS = 6.0
+KEY, SHINGLE, PERCENT = 6, 5, 80
+SHORT, BLOCK_SHINGLES, BLOCK_BITS, TASK_ROWS = 8, 1 << 21, 1 << 13, 1 << 13
+MISSED = 5e-10  # by the keys, and by the bits
 BROADCAST_IDS = 500_000
+DIGEST = ["digest_a", "digest_b", "n"]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -51,111 +57,180 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return sets
 
 
-def least_shared(n: np.ndarray, k: int, percent: int) -> np.ndarray:
-    """How many values the sketches of a set of n and of any set similar enough to it share at the least.
+def key_count(k: int, percent: int) -> int:
+    """How many keys of k hashes each let no more than MISSED of the pairs of that similarity go without a common one."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-min((percent / 100) ** k, 1 - 1e-9))))
 
-    The union of the two has at most n * 100 / percent elements. If that is no more than k, both sketches are whole sets
-    and the number is exact; otherwise it is SIGMAS standard deviations below the mean of a draw without replacement.
+
+@cache
+def most_differing(bits: int, percent: int) -> int:
+    """How many of the bits differ at most, but for MISSED of the pairs of that similarity.
+
+    First elements that are not the same have the same bit half the time.
     """
-    share = percent / 100
-    union = n / share
-    drawn = np.minimum(n, k)
-    spread = np.sqrt(share * (1 - share) * drawn * np.clip((union - k) / union, 0, 1))
-    sure = np.where(union <= k, np.ceil(share * n - 1e-9), np.floor(share * drawn - SIGMAS * spread))
-    return np.clip(sure, 1, np.maximum(drawn, 1)).astype(np.int64)
+    differs = (1 - percent / 100) / 2
+    found, most = 0.0, bits
+    while most and found + (here := math.comb(bits, most) * differs**most * (1 - differs) ** (bits - most)) <= MISSED:
+        found, most = found + here, most - 1
+    return most
+
+
+@cache
+def _orders(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and terms that put 32-bit hashes in so many orders, the same in every process."""
+    drawn = flat.mix(flat.mix(np.arange(1, 2 * count + 1, dtype=np.uint64)) + np.uint64(count))
+    drawn = (drawn >> np.uint64(32)).astype(np.uint32)
+    return drawn[:count] | np.uint32(1), drawn[count:]
+
+
+def words_of(k: int, percent: int) -> list[str]:
+    """Names of the columns that hold 64 bits of a class each."""
+    return [f"bits_{i}" for i in range(-(-key_count(k, percent) * k // 64))]
+
+
+def signatures(sets: list[np.ndarray], k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per set (none is empty) its keys, and its bits as words of 64."""
+    keys = key_count(k, percent)
+    sizes = np.array([len(s) for s in sets])
+    short = (np.concatenate(sets).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    least, moved = np.empty((keys * k, len(sets)), np.uint32), np.empty_like(short)
+    for row, factor, term in zip(least, *_orders(keys * k), strict=True):
+        np.multiply(short, factor, out=moved)
+        moved += term
+        np.minimum.reduceat(moved, starts, out=row)
+    # The number of the order goes in, so that keys of different orders are different.
+    mixed = flat.mix(least + (np.arange(1, keys * k + 1, dtype=np.uint64) << np.uint64(32))[:, None])
+    joint = np.zeros((keys, len(sets)), np.uint64)
+    for hashed in mixed.reshape(keys, k, -1).transpose(1, 0, 2):
+        joint = flat.mix(joint + hashed)
+    bits = np.zeros((len(words_of(k, percent)) * 64, len(sets)), np.uint8)
+    bits[: keys * k] = mixed >> np.uint64(63)
+    packed = np.packbits(bits, axis=0).T
+    return joint.T.view(np.int64), np.ascontiguousarray(packed).view(np.int64)
+
+
+def _digests(sets: list[np.ndarray]) -> dict:
+    spread = [flat.mix(s.view(np.uint64) + np.uint64(1)).sum(dtype=np.uint64) for s in sets]
+    return {
+        "n": np.array([len(s) for s in sets], np.int64),
+        "digest_a": np.array([s.sum(dtype=np.int64) for s in sets], np.int64),
+        "digest_b": np.array(spread, np.uint64).view(np.int64),
+    }
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], size: int, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    words = words_of(k, percent)
     for rows, data, offsets in flat.slices(batches):
         sets = shingle_sets(data, offsets, size)
-        n = np.array([len(s) for s in sets], np.int64)
-        kept = np.minimum(n, k)
-        spread = [flat.mix(s.view(np.uint64) + np.uint64(1)).sum(dtype=np.uint64) for s in sets]
-        digest = np.array([s.sum(dtype=np.int64) for s in sets], np.int64)
-        listed = kept - least_shared(n, k, percent) + 1
-        values = np.concatenate([s[:k] for s in sets]) if sets else np.empty(0, np.int64)
-        ends = pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": rows.column("doc_id"),
-                "n": n,
-                "digest_a": digest,
-                "digest_b": np.array(spread, np.uint64).view(np.int64),
-                "listed": listed,
-                "sketch": pa.ListArray.from_arrays(ends, pa.array(values)),
-            }
-        )
-
-
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+        found = _digests(sets)
+        # A set of fewer elements is similar enough to itself only.
+        listed = np.flatnonzero((found["n"] > 0) & (100 * found["n"] >= percent * (found["n"] + 1)))
+        keys, bits = np.empty((0, 0), np.int64), np.zeros((len(sets), len(words)), np.int64)
+        if len(listed):
+            keys, bits[listed] = signatures([sets[i] for i in listed], k, percent)
+        counts = np.zeros(len(sets), np.int64)
+        counts[listed] = keys.shape[1]
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        found |= {"keys": pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))}
+        found |= {word: np.ascontiguousarray(bits[:, i]) for i, word in enumerate(words)}
+        yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id")} | found)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Write the sets to a file of the task's own, and say where each begins."""
+    uri, stream, start = None, None, 0
     for rows, data, offsets in flat.slices(batches):
+        if stream is None:
+            uri, stream = files.new_file(folder, ".sets")
         sets = shingle_sets(data, offsets, size)
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-        values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        found = _digests(sets)
+        for values in sets:
+            stream.write(values.tobytes())
+        starts = start + np.cumsum(found["n"]) - found["n"]
+        start += int(found["n"].sum())
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": rows.column("doc_id"), "shingles": pa.ListArray.from_arrays(ends, pa.array(values))}
+            {"doc_id": rows.column("doc_id")} | found | {"uri": pa.array([uri] * len(sets), pa.string()), "start": starts}
         )
-
-
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, doc_id, n): every class under its rarest sketch values; values of one class only are left out.
-
-    A value and an id are all that moves per sketch value; what is known per class joins the values that are left.
+    if stream is not None:
+        stream.close()
+
+
+def read_sets(uris: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The sets at these places, each read once. A set that isn't empty is told by where it begins."""
+    at, where = np.unique(starts, return_inverse=True)
+    names, of = np.unique(uris, return_inverse=True)
+    places, inverse = np.unique(of * len(at) + where, return_inverse=True)
+    first = np.full(len(places), -1)
+    first[inverse[::-1]] = np.arange(len(inverse))[::-1]
+    found, open_name, stream = [], None, None
+    for i in first:
+        if open_name != names[of[i]]:
+            if stream is not None:
+                stream.close()
+            open_name = names[of[i]]
+            stream = files.open_file(open_name)
+        found.append(np.frombuffer(stream.read_at(int(sizes[i]) * 8, int(starts[i]) * 8), np.int64))
+    if stream is not None:
+        stream.close()
+    return [found[i] for i in inverse]
+
+
+def key_lists(classes: DataFrame) -> DataFrame:
+    """(key, doc_id, m): every class under its keys; m classes have the key, those of one class only are left out.
+
+    A key and an id are all that moves, once.
     """
-    listed = classes.select("doc_id", F.explode("sketch").alias("value"))
-    common = listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    of_class = W.partitionBy("doc_id")  # at most k rows
-    known = classes.select("doc_id", "n", "listed", F.size("sketch").alias("kept"))
-    ranked = (
-        listed.join(common, "value")
-        .withColumn("place", F.row_number().over(of_class.orderBy("df", "value")))
-        .withColumn("common", F.count(F.lit(1)).over(of_class))
-        .join(known, "doc_id")
-    )
-    return ranked.where("kept - common + place <= listed").select("value", "doc_id", "n")
-
+    listed = classes.select("doc_id", F.explode("keys").alias("key"))
+    return listed.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("key"))).where("m > 1").select("key", "doc_id", "m")
 
-def _ratio_allows(percent: int, a: str = "a_n", b: str = "b_n") -> F.Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-
-def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def first_pairs(lists: DataFrame) -> DataFrame:
     """Distinct (a, b): all pairs of short lists, and every class of a long list with the list's pivot."""
-    sizes = lists.groupBy("value").agg(
-        F.count(F.lit(1)).alias("m"), F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id")).alias("pivot")
-    )
-    short = lists.join(sizes.where(f"m > 1 AND m <= {SHORT}").select("value"), "value")
-    other = short.select("value", F.col("doc_id").alias("b"), F.col("n").alias("b_n"))
-    within = short.select("value", F.col("doc_id").alias("a"), F.col("n").alias("a_n")).join(other, "value")
-    to_pivot = lists.join(sizes.where(f"m > {SHORT}").select("value", "pivot"), "value").select(
-        F.least("doc_id", "pivot.doc_id").alias("a"),
-        F.greatest("doc_id", "pivot.doc_id").alias("b"),
-        F.col("n").alias("a_n"),
-        F.col("pivot.n").alias("b_n"),
-    )
-    pairs = within.select("a", "b", "a_n", "b_n").unionByName(to_pivot)
-    return pairs.where("a < b").where(_ratio_allows(percent)).select("a", "b").distinct()
+    short = lists.where(f"m <= {SHORT}").groupBy("key").agg(F.collect_set("doc_id").alias("ids"))
+    within = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b"))
+    longer = lists.where(f"m > {SHORT}").select("key", "doc_id")
+    pivots = longer.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("pivot"))
+    to_pivot = longer.join(pivots, "key").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+    return within.unionByName(to_pivot).where("a < b").distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose union sketch does not rule out that they are similar enough."""
-    sketch = classes.select("doc_id", "sketch")
+    """The pairs whose sizes and bits do not rule out that they are similar enough."""
+    words = words_of(k, percent)
     for side in "ab":
-        pairs = pairs.join(sketch.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    pairs = pairs.select("a", "b", union.alias("u"), F.array_intersect("sketch_a", "sketch_b").alias("both"))
-    pairs = pairs.select("a", "b", F.size("u").alias("u"), F.size(F.array_intersect("u", "both")).alias("x"))
-    share = percent / 100
-    return pairs.where(F.col("x") >= share * F.col("u") - SIGMAS * F.sqrt(share * (1 - share) * F.col("u")))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+        known = [F.col(name).alias(f"{side}_{name}") for name in ("n", *words)]
+        pairs = pairs.join(classes.select(F.col("doc_id").alias(side), *known), side)
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    fit = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return pairs.where(fit & (differ <= most_differing(key_count(k, percent) * k, percent))).select("a", "b").distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pandas()
+        # About BLOCK_SHINGLES elements are held at once.
+        load = np.cumsum(rows["a_n"].to_numpy() + rows["b_n"].to_numpy()) // BLOCK_SHINGLES
+        links = [np.zeros(0, bool)]
+        for cut in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(load)) + 1):
+            some, similar = rows.iloc[cut], []
+            both = [np.concatenate([some[f"{side}_{name}"].to_numpy() for side in "ab"]) for name in ("uri", "start", "n")]
+            sets = read_sets(*both)
+            for one, other in zip(sets[: len(some)], sets[len(some) :], strict=True):
+                values = np.concatenate([one, other])
+                values.sort()
+                shared = np.count_nonzero(values[1:] == values[:-1])
+                similar.append(100 * shared >= percent * (len(values) - shared))
+            links.append(np.array(similar, bool))
+        yield pa.RecordBatch.from_pandas(rows.loc[np.concatenate(links), ["a", "b"]], preserve_index=False)
+
+
+def verified(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar enough on their full sets."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    sizes = F.size("set_a") + F.size("set_b")
-    return pairs.where(100 * both >= percent * (sizes - both)).select("a", "b")
+        known = [F.col(name).alias(f"{side}_{name}") for name in ("uri", "start", "n")]
+        pairs = pairs.join(places.select(F.col("doc_id").alias(side), *known), side)
+    return pairs.mapInArrow(partial(_compared, percent=percent), "a long, b long").distinct()
 
 
 def forest(sets: list[np.ndarray], comps: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple]:
@@ -186,94 +261,112 @@ def forest(sets: list[np.ndarray], comps: np.ndarray, left: np.ndarray, right: n
     return links
 
 
-def _blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _near(bits: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have one of another component on the other side of which no more than `most` bits differ."""
+    near = np.zeros(len(comps), bool)
+    for i in left:
+        fit = right[np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most]
+        fit = fit[comps[fit] != comps[i]]
+        near[fit] = True
+        near[i] |= len(fit) > 0
+    return near
+
+
+def _blocks(rows: pd.DataFrame, words: list[str], most: int, percent: int) -> pd.DataFrame:
     """One block, or two of a list: rows of block `x` against rows of block `y`."""
-    ids, sets = rows["doc_id"].to_numpy(), [np.asarray(s) for s in rows["shingles"]]
-    own = rows["block"].to_numpy()
+    ids, own = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
     x, y = rows["x"].iloc[0], rows["y"].iloc[0]
     comps = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    bits = rows[words].to_numpy(np.int64).view(np.uint64)
     # Classes of the largest component needn't be compared with each other: the others look for links.
     main = np.bincount(comps).argmax()
     links = []
     for a, b in {(x, y), (y, x)}:
         left, right = np.flatnonzero((own == a) & (comps != main)), np.flatnonzero(own == b)
+        if len(left) and len(right) and len(rows) <= BLOCK_BITS:  # many sets in a block are small ones, quickly compared
+            near = _near(bits, comps, left, right, most)
+            left, right = left[near[left]], right[near[right]]
         if len(left) and len(right):
-            links += forest(sets, comps, left, right, percent)
+            used = np.union1d(left, right)
+            some = rows.iloc[used]
+            sets = read_sets(some["uri"].to_numpy(), some["start"].to_numpy(), some["n"].to_numpy())
+            found = forest(sets, comps[used], np.searchsorted(used, left), np.searchsorted(used, right), percent)
+            links += [(used[i], used[j]) for i, j in found]
     return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
 
 
-def known_links(edges: DataFrame) -> DataFrame:
-    """(node, component) of what the links show in one step: each end goes by its neighbour, or itself, of smallest hash.
-
-    Pivots are chosen by the same hash, so most classes go by their pivot. Nodes of one name surely hang together.
-    """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = both.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    best = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("other"))
-    nearer = F.xxhash64("other") < F.xxhash64("node")
-    return best.select("node", F.when(nearer, F.col("other")).otherwise(F.col("node")).alias("component"))
-
-
-def block_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def block_links(
+    lists: DataFrame, labels: DataFrame, classes: DataFrame, places: DataFrame, k: int, percent: int, store: Store
+) -> DataFrame:
     """Links between components inside long lists that hold several: each list is cut into blocks of about BLOCK_SHINGLES,
-    and every block meets itself and every later one."""
+    and every block meets itself and every later one. Tasks are made by rows: these are small for what is done with them.
+    """
     named = (
-        lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        lists.where(f"m > {SHORT}")
+        .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
+        .join(places, "doc_id")
     )
-    open_lists = named.groupBy("value").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    ).where(f"m > {SHORT} AND lo <> hi")
-    blocks = open_lists.select("value", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
-    cut = named.join(blocks, "value").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    open_lists = named.groupBy("key").agg(
+        F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo <> hi")
+    blocks = open_lists.select("key", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    cut = named.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    words = words_of(k, percent)
+    cut = cut.join(classes.select("doc_id", *DIGEST, *words), ["doc_id", *DIGEST])
     pairs = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")),
     )
-    cut = cut.select("value", "doc_id", "component", "block", F.explode(pairs).alias("p")).select("*", "p.x", "p.y")
+    cut = cut.select("*", F.explode(pairs).alias("p"))
+    cut = store.keep(cut.select("key", "doc_id", "component", "block", "p.x", "p.y", "uri", "start", "n", *words))
+    parts = max(1, -(-cut.count() // TASK_ROWS))
+    most = most_differing(key_count(k, percent) * k, percent)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        return _blocks(rows, percent)
+        return _blocks(rows, words, most, percent)
 
-    return cut.drop("p").join(sets, "doc_id").groupBy("value", "x", "y").applyInPandas(compare, "a long, b long")
+    dealt = cut.repartition(parts, "key", "x", "y")
+    return dealt.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, percent: int = PERCENT
+    docs: DataFrame, size: int = SHINGLE, k: int = KEY, percent: int = PERCENT
 ) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of `size`-word shingles; component_id
     is the smallest doc_id in reach. A null or empty text has an empty set and is linked with nothing. A null doc_id can't
     be linked: its component_id is null and it is kept. Rows that repeat a doc_id are the same document. Equal rows stay
-    equal rows; an empty table gives an empty result. Columns other than doc_id and text are not read.
+    equal rows; an empty table gives an empty result. Columns other than doc_id and text are not read. k hashes make a key.
     """
     store = Store(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketch_type = "doc_id long, n long, digest_a long, digest_b long, listed long, sketch array<long>"
+    words = words_of(k, percent)
+    kind = "doc_id long, n long, digest_a long, digest_b long"
+    sketch_type = ", ".join([kind, "keys array<long>", *(f"{word} long" for word in words)])
     sketches = store.keep(docs.mapInArrow(partial(_sketches, size=size, k=k, percent=percent), sketch_type))
-    digest = ["digest_a", "digest_b", "n"]
-    rows = store.keep(sketches.select("doc_id", *digest))
-    classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest)
-    # Equal sets have equal sketches.
-    same = F.first("listed").alias("listed"), F.first("sketch").alias("sketch")
+    rows = store.keep(sketches.select("doc_id", *DIGEST))
+    classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy(*DIGEST)
+    # Equal sets have equal keys and bits.
+    same = [F.first(name).alias(name) for name in ("keys", *words)]
     classes = store.keep(classes.agg(F.min("doc_id").alias("doc_id"), *same))
     store.drop(sketches)
-    lists = store.keep(inverted_lists(classes))
-    pairs = store.keep(estimated(first_pairs(lists, percent), classes, k, percent))
+    lists = store.keep(key_lists(classes))
+    pairs = store.keep(estimated(first_pairs(lists), classes, k, percent))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    long_lists = lists.groupBy("value").count().where(f"count > {SHORT}").select("value")
-    wanted = store.keep(wanted.unionByName(lists.join(long_lists, "value").select("doc_id")).distinct())
+    wanted = store.keep(wanted.unionByName(lists.where(f"m > {SHORT}").select("doc_id")).distinct())
     small = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(partial(_sets, size=size), "doc_id long, shingles array<long>")
-    sets = store.keep(sets)
+    places = texts.mapInArrow(partial(_sets, size=size, folder=f"{store.folder}/sets"), f"{kind}, uri string, start long")
+    # Rows that repeat a doc_id and its text have the same set.
+    places = store.keep(store.keep(places).where("n > 0").dropDuplicates(["doc_id", *DIGEST]))
 
-    edges = store.keep(verified(pairs, sets, percent))
-    more = store.keep(block_links(lists, known_links(edges), sets, percent))
+    edges = store.keep(verified(pairs, places, percent))
+    more = store.keep(block_links(lists, components(edges, store), classes, places, k, percent, store))
     # Copies go by the head of their class, so that no edges are needed for them; ids of several texts link their classes.
-    headed = rows.join(classes.select(*digest, F.col("doc_id").alias("head")), digest, "left")
+    headed = rows.join(classes.select(*DIGEST, F.col("doc_id").alias("head")), DIGEST, "left")
     headed = store.keep(headed.withColumn("head", F.when(F.col("doc_id").isNotNull(), F.col("head"))))
     several = headed.groupBy("doc_id").agg(F.min("head").alias("b"), F.max("head").alias("last")).where("b <> last")
     repeated = headed.join(several, "doc_id").select(F.col("head").alias("a"), "b").where("a <> b").distinct()

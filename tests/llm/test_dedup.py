@@ -71,6 +71,52 @@ def test_blocks_of_a_list_give_the_links_of_the_whole(spark, prose, monkeypatch)
     assert {r.doc_id: r.component_id for r in found} == brute_groups(rows, 2)
 
 
+def test_texts_of_common_shingles_are_not_compared(spark, monkeypatch):
+    """Texts of few words share every shingle with many others: what is kept must not hold each under all of these."""
+    draw = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{w}" for w in draw.integers(0, 60, 150))) for k in range(400)]
+    rows += [(1000 + k, f"{rows[k][1]} end{k}") for k in (0, 200)]
+    kept, keep = [], Store.keep
+    monkeypatch.setattr(Store, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    found = minhash.near_duplicates(make_docs(spark, rows), size=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_groups(rows, 2)
+    # The table that is dropped has as many rows as there are texts.
+    assert max(df.count() for df in kept[1:]) < 2 * len(rows)
+
+
+def test_bits_and_keys_let_pairs_of_the_bound_pass():
+    """Pairs of exactly four fifths, for sets of every size: the bits never rule them out, one key at least is common."""
+    draw = np.random.default_rng(6)
+    most = minhash.most_differing(minhash.key_count(6, 80) * 6, 80)
+    for n in (4, 8, 40, 400):
+        for _ in range(100):
+            values = draw.integers(-(2**63), 2**63 - 1, n + n // 4)
+            one, other = np.unique(values[:n]), np.unique(values[n // 8 : n // 8 + n])
+            shared = len(np.intersect1d(one, other))
+            if 100 * shared < 80 * (len(one) + len(other) - shared):
+                one, other = np.unique(values), np.unique(values[:n])
+            keys, bits = minhash.signatures([one, other], 6, 80)
+            assert (keys[0] == keys[1]).any()
+            assert np.bitwise_count(bits[0].view(np.uint64) ^ bits[1].view(np.uint64)).sum() <= most
+    far = [np.unique(draw.integers(-(2**63), 2**63 - 1, 300)) for _ in range(60)]
+    keys, bits = minhash.signatures(far, 6, 80)
+    assert all(len(np.unique(column)) == len(far) for column in keys.T)
+    for word in range(1, len(far)):
+        assert np.bitwise_count(bits[0].view(np.uint64) ^ bits[word].view(np.uint64)).sum() > most
+
+
+def test_sets_are_read_from_where_they_begin(tmp_path):
+    sets = [np.arange(n, dtype=np.int64) * 7 + n for n in (3, 1, 9, 4)]
+    for name in "pq":
+        (tmp_path / name).write_bytes(b"".join(s.tobytes() for s in sets))
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    wanted = [2, 0, 2, 3, 1, 0]
+    uris = np.array([f"file://{tmp_path}/{name}" for name in "pqqppq"], dtype=object)
+    found = minhash.read_sets(uris, starts[wanted], sizes[wanted])
+    assert all(np.array_equal(f, sets[i]) for f, i in zip(found, wanted, strict=True))
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     found = minhash.near_duplicates(odd_docs, size=2).collect()
     assert len(found) == odd_docs.count()
